@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import terms
+from . import langid, neardup, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,3 +22,23 @@ def query(f: Query) -> Query:
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.map_terms(table(spark, d, "jobs"), table(spark, d, "ref_terms"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs_of_listings(table(spark, d, "jobs"))
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.group_listings(table(spark, d, "jobs"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled_lines(table(spark, d, "jobs"), table(spark, d, "documents"))
+
+
+@query
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.text_languages(table(spark, d, "jobs"), table(spark, d, "documents"))

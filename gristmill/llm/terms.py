@@ -198,5 +198,5 @@ def map_terms(jobs: DataFrame, ref_terms: DataFrame, synonyms: dict[str, dict[st
     # NULL-safe and unskewed: the list is broadcast, and rows are made distinct before anything is shuffled.
     typed = typed_values(jobs).join(labels, ["kind", "raw_value"], "left_anti").distinct()
     typed = cut(typed)
-    mapped = map_values(typed, reference_spellings(ref_terms, synonyms))
+    mapped = map_values(typed, cut(reference_spellings(ref_terms, synonyms)))
     return typed.join(mapped, ["kind", "raw_value"]).select("id", "kind", "raw_value", "term_id")
