@@ -51,12 +51,24 @@ def _word_hash(word: str) -> int:
 
 
 class MinHasher:
-    """The minima of a shingle set under `size` fixed random functions of the multiply-add family, as uint32."""
+    """The minima of a shingle set under `size` fixed functions of the multiply-add family modulo 2^32, as uint32.
+
+    Shingles are well mixed already; arithmetic on 32 bits runs at twice the rate of that on 64.
+    """
 
     def __init__(self, size: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1)
-        self.b = rng.integers(0, 2**63, size, dtype=np.uint64)
+        self.a = rng.integers(1, 2**32, (size, 1), dtype=np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, (size, 1), dtype=np.uint32)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes[:, None] * self.a[None, :] + self.b[None, :]) >> np.uint64(32)).min(axis=0).astype(np.uint32)
+        low = hashes.astype(np.uint32)[None, :]
+        best = None
+        # In runs of shingles, so that the table stays in the cache whatever the length of the text.
+        for at in range(0, low.shape[1], 256):
+            x = self.a * low[:, at : at + 256]
+            x += self.b
+            x ^= x >> np.uint32(15)
+            m = x.min(axis=1)
+            best = m if best is None else np.minimum(best, m)
+        return best
