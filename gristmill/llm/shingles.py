@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -19,6 +20,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
+class _Words(dict):
+    """Word to hash, filled as words come up."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = _word_hash(word)
+        return h
+
+
 class Shingler:
     """Distinct runs of `width` words of a text, as sorted uint64 hashes. Word hashes are kept between texts.
 
@@ -26,28 +35,28 @@ class Shingler:
     """
 
     def __init__(self, width: int, most_words: int = 400_000):
-        self.width, self.most, self.known = width, most_words, {}
+        self.width, self.most, self.known = width, most_words, _Words()
+        self.factors = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(width)]
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = _WORD.findall(text.lower()) if text else []
-        if len(words) < self.width:
+        n = len(words) - self.width + 1
+        if n < 1:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        ids = np.fromiter((known.get(w) or known.setdefault(w, _word_hash(w)) for w in words), np.uint64, len(words))
-        h = ids[: len(ids) - self.width + 1].copy()
+        if len(self.known) > self.most:
+            self.known.clear()
+        ids = np.array(list(map(self.known.__getitem__, words)), np.uint64)
+        h = ids[:n] * self.factors[0]
         for k in range(1, self.width):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - self.width + 1 + k]
-        return np.unique(mix(h))
+            h += ids[k : n + k] * self.factors[k]
+        h = mix(h)
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _word_hash(word: str) -> int:
-    """FNV-1a over UTF-8: the same in every process."""
-    h = 0xCBF29CE484222325
-    for b in word.encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h or 1
+    """The same in every process."""
+    return xxhash.xxh3_64_intdigest(word)
 
 
 class MinHasher:
@@ -68,7 +77,6 @@ class MinHasher:
         for at in range(0, low.shape[1], 256):
             x = self.a * low[:, at : at + 256]
             x += self.b
-            x ^= x >> np.uint32(15)
             m = x.min(axis=1)
             best = m if best is None else np.minimum(best, m)
         return best
