@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, neardup, terms
+from . import langid, neardup, pii, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +42,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.text_languages(table(spark, d, "jobs"), table(spark, d, "documents"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_data(table(spark, d, "documents"))
+
+
+@query
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_texts(table(spark, d, "documents"))
