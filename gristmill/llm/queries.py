@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, neardup, pii, terms
+from . import langid, names, neardup, pii, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted_texts(table(spark, d, "documents"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "dim_company"))
+
+
+@query
+def p3_organisations(spark: SparkSession, d: str) -> DataFrame:
+    return names.organisations(table(spark, d, "dim_company"))
