@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, names, neardup, pii, terms
+from . import langid, mixing, names, neardup, packing, pii, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_organisations(spark: SparkSession, d: str) -> DataFrame:
     return names.organisations(table(spark, d, "dim_company"))
+
+
+@query
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+@query
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d))
+
+
+@query
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(p8_mixed(spark, d), table(spark, d, "mix_targets"))
