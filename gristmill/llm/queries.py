@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import langid, mixing, names, neardup, packing, pii, terms
+from . import entities, langid, mixing, names, neardup, packing, pii, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +82,13 @@ def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p8_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matched(spark, d).select("id", "jobid")
+
+
+@query
+def p4_matched(spark: SparkSession, d: str) -> DataFrame:
+    return entities.matched_openings(table(spark, d, "jobs"), table(spark, d, "raw_faruse"))
