@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import impact, relevance, significant_words, skill_tokens
 
@@ -17,13 +17,13 @@ CLAIM = (
 )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp likeness of two texts."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_ratio(text: pd.Series, others: pd.Series) -> pd.Series:
     """Greatest likeness of a text to any of a list; 0 for an empty list."""
     return pd.Series([max((difflib.SequenceMatcher(None, t or "", o).ratio() for o in (os if os is not None else [])), default=0.0) for t, os in zip(text, others)], dtype="float64")
@@ -50,7 +50,7 @@ def new_skills(tailored: Column, master: Column) -> Column:
     return F.filter(F.array_except(skill_tokens(tailored), have), lambda s: ~F.array_contains(short, s) & ~F.coalesce(F.array_contains(have, names[s]), F.lit(False)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def reworded(skill_words: pd.Series, advert_words: pd.Series) -> pd.Series:
     """Whether half of a skill's words, or its only one, are like some word of the advert."""
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 class _Strings(HTMLParser):
@@ -32,7 +32,7 @@ def strip_tags(html: str | None) -> str:
     return " ".join(p.out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(strip_tags)
 
@@ -47,7 +47,7 @@ def jsonld_bodies(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def job_posting_text(html: pd.Series) -> pd.Series:
     """Description of the first JobPosting among a page's JSON-LD objects or lists, as text; NULL if there is none."""
     import re
