@@ -96,6 +96,8 @@ class CharModels:
     backs: list[np.ndarray] = field(default_factory=list)
     slope: float = 4.0
     limit: np.ndarray | None = None
+    #: Log-probability of a character that no sample has, by language.
+    floor: np.ndarray | None = None
 
     def cross_entropies(self, lines: list[str]) -> np.ndarray:
         """Lines x languages: mean negative log-probability of a line's characters."""
@@ -121,7 +123,7 @@ class CharModels:
             open_, codes = open_[miss], codes[miss]
             extra = np.zeros((len(codes), len(self.languages)), np.float32) if extra is None else extra[miss]
             if level == 0:
-                logp[open_] = extra + np.float32(np.log(1.0 / (1 << _BITS)))
+                logp[open_] = extra + self.floor
                 break
             contexts = self.contexts[level - 1]
             context = codes >> _BITS
@@ -186,6 +188,7 @@ def train(samples: dict[str, list[str]], order: int = 5, languages: tuple[str, .
             prob[np.searchsorted(grams, codes), k] = share
             back[np.searchsorted(contexts, ctx), k] = weight
         if n == 0:
+            m.floor = np.log(back[0] / symbols_).astype(np.float32)
             below = np.full((len(grams), len(languages)), 1.0 / symbols_)
         else:
             # A gram's ending is a gram of the order below in some language, but not in all: look it up, with what falling back costs.
