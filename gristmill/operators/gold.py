@@ -74,3 +74,15 @@ def totals(jobs: DataFrame) -> DataFrame:
 def company_profile(jobs: DataFrame) -> DataFrame:
     """Listings, distinct sectors and mean minimum pay of each firm."""
     return jobs.groupBy("company_id").agg(F.count("*").alias("jobs"), F.count_distinct("end_client_sector").alias("sectors"), F.round(F.avg("salary.min_annual_eur"), 2).alias("mean_min_pay"))
+
+
+def research_targets(jobs: DataFrame) -> DataFrame:
+    """Listings by whom they are for: the end client, else the firm, else unknown."""
+    who = F.coalesce(F.nullif(F.trim("end_client_name"), F.lit("")), F.nullif(F.trim("company"), F.lit("")), F.lit("unknown"))
+    return jobs.groupBy(who.alias("target")).agg(F.count("*").alias("jobs"))
+
+
+def price_change(prices: DataFrame) -> DataFrame:
+    """Of `prices(symbol, day, close)`: first and last by day, highest and lowest, and the change in percent to one place."""
+    by = prices.where("close is not null").groupBy("symbol").agg(F.min_by("close", "day").alias("first"), F.max_by("close", "day").alias("last"), F.max("close").alias("high"), F.min("close").alias("low"))
+    return by.withColumn("change", F.round((F.col("last") / F.nullif(F.col("first"), F.lit(0.0)) - 1) * 100, 1))

@@ -124,6 +124,17 @@ def agg_company_profile(spark: SparkSession, d: str) -> DataFrame:
     return gold.company_profile(state(spark, d))
 
 
+@query(f"WITH {_STATE} SELECT coalesce(nullif(trim(end_client_name), ''), nullif(trim(company), ''), 'unknown') AS target, count(*) AS jobs FROM s GROUP BY 1")
+def agg_research_targets(spark: SparkSession, d: str) -> DataFrame:
+    return gold.research_targets(state(spark, d))
+
+
+@query("""SELECT event_type AS symbol, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last, max(value) AS high, min(value) AS low,
+round((arg_max(value, event_id) / nullif(arg_min(value, event_id), 0) - 1) * 100, 1) AS change FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def agg_stock_perf(spark: SparkSession, d: str) -> DataFrame:
+    return gold.price_change(table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("day"), F.col("value").alias("close")))
+
+
 def _gate(stage: str) -> None:
     if stage == "dim_company":
         sql = f"SELECT company_id FROM dim_company WHERE {silver.GATES[stage]}"

@@ -63,3 +63,18 @@ def test_stream_of_snapshots(spark, tmp_path):
     q.awaitTermination(120)
     assert {r["id"] for r in store.read("jobs").collect()} == {"1", "2"}
     assert upsert(store.read("jobs"), listings(spark, ["1"]), "r", "2026-08-02").count() == 2
+
+
+def test_pipeline_of_two_runs(spark, tmp_path):
+    from gristmill import pipeline
+
+    root = str(tmp_path)
+    store = Store(spark, root + "/warehouse")
+    write_snapshot(listings(spark, ["1", "2", "2"]), root, "wwr", "run1", "2026-08-01T000000Z")
+    pipeline.run(spark, store, pipeline.Config(root, "run1", "2026-08-01 06:00:00"))
+    write_snapshot(listings(spark, ["2", "3"]), root, "wwr", "run2", "2026-08-08T000000Z")
+    views = pipeline.run(spark, store, pipeline.Config(root, "run2", "2026-08-08 06:00:00"))
+    ids = lambda name: {r["id"] for r in views[name].collect()}
+    assert ids("ranked") == {"2", "3"} and ids("new_this_run") == {"3"} and ids("disappeared_this_run") == {"1"}
+    assert {r["active_jobs"] for r in spark.sql("select active_jobs from gold_weekly_snapshot").collect()} == {2}
+    assert spark.read.option("header", True).csv(f"{root}/exports/jobs_ranked").count() == 2
