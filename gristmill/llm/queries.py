@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import entities, langid, mixing, names, neardup, packing, pii, terms
+from . import entities, langid, mixing, names, neardup, packing, pii, terms, terms_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_matched(spark: SparkSession, d: str) -> DataFrame:
     return entities.matched_openings(table(spark, d, "jobs"), table(spark, d, "raw_faruse"))
+
+
+SQL["p1_found"] = terms_sql.mapping_sql()
