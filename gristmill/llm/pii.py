@@ -320,6 +320,9 @@ class NameFinder:
                 b = pair.end()
             if kind == "greet" and m[0].split(" ")[0] in self.low:
                 continue
+            # A closing can be signed "Last, First".
+            if kind == "greet" and pair and m[0] == pair[0].split(", ")[0] and self.told(pair[1].split(" ")[0]):
+                b = pair.end()
             put(at, b)
         # A line, or the start of one, that is a name and leads to a number, an address or a line of such.
         heads = {a for a, _ in taken}
