@@ -1,11 +1,10 @@
 """Near-duplicate listings by b-bit MinHash.
 
-Two passes over the texts. The first counts, over all texts, in how many texts each run of words occurs, in a fixed count sketch.
-The second signs each text: b-bit cells are the low bits of its minima under fixed hash functions, packed into words, and estimate
-similarity; band keys for candidates are made of whole minima over the runs that are not stock phrases, so that unrelated texts
-of one template do not meet. Long band keys over all runs catch groups so large that what they share counts as stock itself; there
-each member is linked to the bucket's least member, which a map-side combine finds. Candidate pairs are compared by counting equal
-cells, corrected for the 2^-b that agree by chance; pairs too close to the limit for the estimate are verified on their shingles.
+One pass signs each text: b-bit cells are the low bits of its minima under fixed hash functions, packed into words, and estimate
+similarity; band keys for candidates are made of whole minima over all runs of words, so that no run is too common to bring two texts
+together. Every two classes that share a bucket are compared, in a bucket of any size: large ones are cut into blocks, and each two
+blocks meet in a group of bounded size. Pairs are compared where they meet, by counting equal cells, corrected for the 2^-b that agree
+by chance; pairs too close to the limit for the estimate are verified on their shingles.
 
 Texts with the same shingles are one class, which enters the bands once: a group of copies of any size adds one row.
 """
@@ -70,30 +69,30 @@ def stock_runs(texts: DataFrame, width: int, share: float, least: int) -> bytes:
     return np.packbits(counts > max(least, share * rows[0]["n"]) + np.median(counts)).tobytes()
 
 
-def signatures(texts: DataFrame, stock: bytes, width: int, bands: int, rows: int, long_bands: int, long_rows: int, cells: int, bits: int) -> DataFrame:
-    """`key, class, cells, bands, long`. Texts without a run of `width` words share none with any text and are dropped.
+def signatures(texts: DataFrame, width: int, bands: int, rows: int, cells: int, bits: int) -> DataFrame:
+    """`key, class, cells, bands`. Texts without a run of `width` words share none with any text and are dropped.
 
     Only the first text of a class that a task meets carries a signature, so that a class has as many as there are tasks at most.
     """
     per_word = 64 // bits
-    assert 64 % bits == 0 and cells % per_word == 0 and long_bands * long_rows <= cells
+    assert 64 % bits == 0 and cells % per_word == 0
 
-    def keys(m: np.ndarray, n: int, salt: int) -> np.ndarray:
-        k = np.arange(salt, salt + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for column in m.reshape(n, -1).T:
+    def keys(m: np.ndarray) -> np.ndarray:
+        k = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for column in m.reshape(bands, -1).T:
             k = (k ^ column) * np.uint64(0x100000001B3)
         return mix(k)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole, some = MinHasher(cells), MinHasher(bands * rows, seed=11)
-        common = np.unpackbits(np.frombuffer(stock, np.uint8)).astype(bool)
+        # Other functions for the bands than for the cells: that two texts meet tells nothing of the cells they are compared by.
+        whole, banded = MinHasher(cells), MinHasher(bands * rows, seed=11)
         shifts = (np.arange(per_word, dtype=np.uint64) * np.uint64(bits))[None, :]
         low = np.uint64((1 << bits) - 1)
         seen: set[int] = set()
         for b in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
-            out: dict[str, list] = {"key": [], "class": [], "cells": [], "bands": [], "long": []}
+            out: dict[str, list] = {"key": [], "class": [], "cells": [], "bands": []}
             for key, ids in zip(b["key"], word_hashes(b["text"])):
                 h = runs(ids, width)
                 if not len(h):
@@ -103,19 +102,16 @@ def signatures(texts: DataFrame, stock: bytes, width: int, bands: int, rows: int
                 out["class"].append(name)
                 if name in seen:
                     # A copy adds nothing to the class, which this task has signed already.
-                    for k in ("cells", "bands", "long"):
+                    for k in ("cells", "bands"):
                         out[k].append(None)
                     continue
                 seen.add(name)
-                m = whole(h).astype(np.uint64)
-                rare = h[~common[(h >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]]
-                out["cells"].append(_signed(np.bitwise_or.reduce((m & low).reshape(-1, per_word) << shifts, axis=1)))
-                out["bands"].append(_signed(keys(some(rare).astype(np.uint64), bands, 1)) if len(rare) else None)
-                out["long"].append(_signed(keys(m[: long_bands * long_rows], long_bands, 1000)))
+                out["cells"].append(_signed(np.bitwise_or.reduce((whole(h).astype(np.uint64) & low).reshape(-1, per_word) << shifts, axis=1)))
+                out["bands"].append(_signed(keys(banded(h).astype(np.uint64))))
             yield pd.DataFrame({k: pd.Series(v, dtype=object if k != "class" else "int64") for k, v in out.items()})
 
     kind = dict(texts.dtypes)["key"]
-    return texts.select("key", "text").mapInPandas(sign, f"key {kind}, class bigint, cells array<bigint>, bands array<bigint>, long array<bigint>")
+    return texts.select("key", "text").mapInPandas(sign, f"key {kind}, class bigint, cells array<bigint>, bands array<bigint>")
 
 
 def equal_cells(a: Column, b: Column, bits: int) -> Column:
@@ -133,14 +129,8 @@ def equal_cells(a: Column, b: Column, bits: int) -> Column:
     return F.lit(64 // bits) * F.size(a) - F.aggregate(x, F.lit(0), lambda acc, w: acc + differing(w))
 
 
-def estimated_similarity(a: Column, b: Column, cells: int, bits: int) -> Column:
-    """Jaccard similarity from b-bit cells: the share of equal cells without those that agree by chance."""
-    chance = 2.0**-bits
-    return (equal_cells(a, b, bits) / F.lit(float(cells)) - F.lit(chance)) / F.lit(1 - chance)
-
-
 def candidate_pairs(classes: DataFrame, most_in_bucket: int) -> DataFrame:
-    """`a, b` (a < b): classes that share a band key, or of which one is the least member of a long band's bucket.
+    """`a, b` (a < b): links that keep what shares a band key connected, for components; not every pair, for which there is `likely_pairs`.
 
     A bucket of up to `most_in_bucket` classes is paired out. In a larger one each member is linked to its least members under as
     many orders as it would have had partners, by a map-side combine: no bucket is gathered, and components close the links.
@@ -162,39 +152,76 @@ def candidate_pairs(classes: DataFrame, most_in_bucket: int) -> DataFrame:
     return pairs.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def similar_texts(
-    texts: DataFrame,
-    threshold: float = 0.8,
-    width: int = 5,
-    bands: int = 44,
-    rows: int = 4,
-    long_bands: int = 6,
-    long_rows: int = 7,
-    cells: int = 128,
-    bits: int = 8,
-    zone: float = 0.13,
-    stock_share: float = 0.02,
-    stock_least: int = 64,
-    most_in_bucket: int = 64,
-) -> tuple[DataFrame, DataFrame]:
+def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block: int) -> DataFrame:
+    """`a, b, s` (a < b): every two classes that share a band key and whose estimated similarity `s` is `least` or more.
+
+    `classes(class, cells, bands)`; a class may be signed more than once and counts once. The classes of a bucket are dealt into blocks of
+    about `block`, and each two blocks, and each block with itself, make a group that is compared by itself, so that a bucket of any size is compared
+    in full and no group is large. Pairs that are not alike go no further than the task they meet in.
+    """
+    # Partitioned by bucket already, the repetitions of a class go and the rest is counted without another shuffle.
+    keyed = classes.select("class", F.explode("bands").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "class"])
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    dealt = shared.select("class", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("own"))
+    met = dealt.select("class", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    signed = classes.select("class", "cells").dropDuplicates(["class"])
+    grouped = met.select("class", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own").join(signed, "class")
+    placed = grouped.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    per_word, chance = 64 // bits, 2.0**-bits
+    kind = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
+
+    def unpacked(words: np.ndarray) -> np.ndarray:
+        shifts = np.arange(per_word, dtype=np.uint64) * np.uint64(bits)
+        return ((words.view(np.uint64)[:, :, None] >> shifts) & np.uint64((1 << bits) - 1)).astype(kind).reshape(len(words), -1)
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of whole groups, which stand one after another: each row is compared with the next, the next but one and so on."""
+        name, own = g["class"].to_numpy(), g["own"].to_numpy()
+        place = g[["bucket", "one", "two"]].to_numpy()
+        group = np.cumsum(np.concatenate([[0], (place[1:] != place[:-1]).any(axis=1)]))
+        inner = place[:, 1] == place[:, 2]
+        c = unpacked(np.stack(g["cells"].to_list()))
+        at, step, out = np.arange(len(g)), 0, []
+        while len(at):
+            step += 1
+            at = at[at + step < len(g)]
+            at = at[group[at] == group[at + step]]
+            i = at[inner[at] | (own[at] != own[at + step])]
+            for part in np.array_split(i, len(i) // 20_000 + 1):
+                s = ((c[part] == c[part + step]).sum(axis=1) / cells - chance) / (1 - chance)
+                near = s >= least
+                x, y = name[part[near]], name[part[near] + step]
+                out.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "s": s[near]}))
+        return pd.concat(out).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "s": []}).astype({"a": "int64", "b": "int64"})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            # The last group may go on in the next batch.
+            end = b.iloc[-1]
+            last = ((b["bucket"] == end["bucket"]) & (b["one"] == end["one"]) & (b["two"] == end["two"])).to_numpy()
+            rest = b[last]
+            if not last.all():
+                yield meet(b[~last])
+        if rest is not None and len(rest):
+            yield meet(rest)
+
+    return placed.mapInPandas(compare, "a bigint, b bigint, s double").dropDuplicates(["a", "b"])
+
+
+def similar_texts(texts: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 44, rows: int = 4, cells: int = 128, bits: int = 8, zone: float = 0.13, block: int = 256) -> tuple[DataFrame, DataFrame]:
     """(`members(key, class)`, `pairs(a, b)`): the class of each text, and the classes whose similarity reaches `threshold`.
 
     `texts(key, text)`. Similarity is that of the distinct runs of `width` words. Estimates within `zone` of the threshold, more than
     three standard errors, are settled on the shingles themselves.
     """
-    stock = stock_runs(texts, width, stock_share, stock_least)
-    signed = cut(signatures(texts, stock, width, bands, rows, long_bands, long_rows, cells, bits))
+    signed = cut(signatures(texts, width, bands, rows, cells, bits))
     members = signed.select("key", "class").distinct()
-    classes = signed.where("cells is not null")
-    c = classes.select("class", "cells").dropDuplicates(["class"])
-    estimate = estimated_similarity(F.col("ca"), F.col("cb"), cells, bits)
-    likely = cut(
-        candidate_pairs(classes, most_in_bucket)
-        .join(c.select(F.col("class").alias("a"), F.col("cells").alias("ca")), "a")
-        .join(c.select(F.col("class").alias("b"), F.col("cells").alias("cb")), "b")
-        .select("a", "b", estimate.alias("s"))
-        .where(F.col("s") >= threshold - zone)
-    )
+    likely = cut(likely_pairs(signed.where("cells is not null"), cells, bits, threshold - zone, block))
     sure = likely.where(F.col("s") > threshold + zone).select("a", "b")
     unsure = likely.where(F.col("s") <= threshold + zone).select("a", "b")
     return members, sure.unionByName(verified(unsure, signed, texts, threshold, width))

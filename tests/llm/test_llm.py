@@ -116,6 +116,20 @@ def test_hot_bucket_is_chained(spark):
     assert graph.components(pairs).where("component = 0").count() == 40
 
 
+def test_versions_of_a_text_that_most_rows_hold(spark):
+    rng = random.Random(12)
+    words = text_of(rng, 90).split()
+    texts = {f"copy{k}": list(words) for k in range(60)}
+    for k in range(90):
+        w = texts[f"edit{k}"] = list(words)
+        for at in rng.sample(range(90), 4):
+            w[at] = f"zz{k}x{at}"
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in texts.items()}
+    want = {tuple(sorted((a, b))) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) * 2 >= len(sets[a] | sets[b])}
+    got = {tuple(r) for r in neardup.pairs_of_listings(jobs(spark, [{"id": k, "description_text": " ".join(w)} for k, w in texts.items()])).collect()}
+    assert got <= want and len(got) > 0.98 * len(want) and len(want) > 9_000
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(5, 5)]
