@@ -116,6 +116,18 @@ def test_hot_bucket_is_chained(spark):
     assert graph.components(pairs).where("component = 0").count() == 40
 
 
+def test_large_bucket_is_compared_in_full(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**62), 2**62, 16).tolist()
+    far = rng.integers(-(2**62), 2**62, 16).tolist()
+    # Every class is signed twice, as by two tasks; one is in the bucket without being alike, one is alike without being in it.
+    rows = [(k, base, [7, 100 + k]) for k in range(200)] * 2 + [(500, far, [7]), (501, base, [8])]
+    classes = spark.createDataFrame(rows, "class bigint, cells array<bigint>, bands array<bigint>")
+    for block in (16, 1000):
+        got = sorted((r["a"], r["b"]) for r in neardup.likely_pairs(classes, 128, 8, 0.4, block).collect())
+        assert got == list(itertools.combinations(range(200), 2))
+
+
 def test_versions_of_a_text_that_most_rows_hold(spark):
     rng = random.Random(12)
     words = text_of(rng, 90).split()
