@@ -205,6 +205,16 @@ def test_one_to_one(spark):
     assert {(r["a"], r["b"]) for r in entities.one_to_one(s).collect()} == {("z", "p"), ("x", "q")}
 
 
+def test_one_to_one_goes_on_until_no_pair_is_left(spark):
+    tied = [(f"x{i:02d}", f"y{j:02d}", 0.9) for i in range(20) for j in range(20)]
+    # Each pair of the chain has to wait for the one before.
+    chain = [(f"c{k:02d}", f"d{k:02d}", 0.9 - 0.02 * k) for k in range(15)] + [(f"c{k + 1:02d}", f"d{k:02d}", 0.89 - 0.02 * k) for k in range(14)]
+    s = spark.createDataFrame([(a, b, c, *[0.0] * 6) for a, b, c in tied + chain], "a string, b string, confidence double, text double, rare_share double, title double, firm double, place double, date double")
+    for few in (0, 300, 1000):
+        got = {(r["a"], r["b"]) for r in entities.one_to_one(s, few=few).collect()}
+        assert got == {(f"x{k:02d}", f"y{k:02d}") for k in range(20)} | {(f"c{k:02d}", f"d{k:02d}") for k in range(15)}
+
+
 # -- languages
 
 
