@@ -200,6 +200,19 @@ def test_entities(spark):
     assert [str(x[0]) for x in days] == ["2026-03-05", "2026-03-05", "None", "None"]
 
 
+def test_openings_of_a_text_that_many_rows_hold(spark):
+    rng = random.Random(21)
+    others = [text_of(rng, 40) for _ in range(10)]
+    hot = text_of(rng, 40)
+    posting = ("Data Engineer", "Acme Robotics", "Lyon", "2026-03-05")
+    # Thirty listings of one text, title, firm and place: no attribute tells them from each other, and all have records on the other side.
+    left = [{"id": f"l{k:02d}", "title": posting[0], "company": posting[1], "location_raw": posting[2], "date_posted": posting[3], "description_text": hot} for k in range(30)]
+    left += [{"id": f"o{k}", "title": "Nurse", "company": f"Clinic {k} Lumo", "location_raw": "Nice", "date_posted": posting[3], "description_text": t} for k, t in enumerate(others)]
+    right = spark.createDataFrame([(f"r{k:02d}", *posting, hot) for k in range(30)], "jobid string, title string, companyname string, location string, publishedat string, description string")
+    got = entities.matched_openings(jobs(spark, left), right).collect()
+    assert len(got) == 30 and {x["id"] for x in got} == {f"l{k:02d}" for k in range(30)} and {x["jobid"] for x in got} == {f"r{k:02d}" for k in range(30)}
+
+
 def test_one_to_one(spark):
     s = spark.createDataFrame([(a, b, c, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for a, b, c in (("x", "p", 0.9), ("x", "q", 0.8), ("y", "p", 0.85), ("y", "q", 0.6), ("z", "p", 0.9))], "a string, b string, confidence double, text double, rare_share double, title double, firm double, place double, date double")
     assert {(r["a"], r["b"]) for r in entities.one_to_one(s).collect()} == {("z", "p"), ("x", "q")}
