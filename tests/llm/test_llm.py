@@ -178,6 +178,20 @@ def test_names(spark):
     assert names.variant_pairs(df.limit(0)).count() == 0
 
 
+def test_names_of_common_suffixes(spark):
+    rng = random.Random(6)
+    # Ninety firms whose names end alike and of which nothing else is known, two spellings of one among them; and seventy rows of one
+    # organisation that all columns agree on.
+    rows = [(f"n{k:02d}", "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) + " mechanika", None, None) for k in range(90)]
+    rows += [("v1", "Torvalosk Mechanika", None, None), ("v2", "Mechanika, Torvalosk", None, None)]
+    rows += [(f"o{k:02d}", f"Brunikel Mechanika{' SAS' * (k % 2)}", "brunikel.test", 1990) for k in range(70)]
+    df = spark.createDataFrame([(i, n, u, y, None, None, None, None, None) for i, n, u, y in rows], "company_id string, name string, homepage_url string, year_founded bigint, hq_country string, stock_symbol string, org_type string, size_employees bigint, x string")
+    got = {tuple(r) for r in names.variant_pairs(df).collect()}
+    assert ("v1", "v2") in got and {(f"o{a:02d}", f"o{b:02d}") for a in range(70) for b in range(a + 1, 70) if (a + b) % 2} <= got
+    rows = spark.createDataFrame([(k, ["w" + str(k), "mechanika"]) for k in range(40)], "nid bigint, words array<string>")
+    assert names.names_that_meet(rows, block=8).count() == 780
+
+
 # -- entities
 
 
