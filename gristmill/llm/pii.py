@@ -1,31 +1,38 @@
 """Personal data in free text: found, and replaced with typed placeholders.
 
-E-mail addresses, phone numbers, identity numbers and street addresses have a form of their own and are read by it. Names have none: they
-are judged by what they give away. One pass over the corpus counts, for each capitalised term, in how many texts it occurs and in how
-many of these it occurs where a person is named (after a title, a label, a closing, beside a number or an address). The disclosure of
-a term is how many bits its presence adds to the belief that a person is named. Terms above the threshold are generalised to a
-placeholder wherever they stand, save in the names of firms and inside other findings; terms that disclose little are not taken for
-part of a name even in a telling place. A term too rare for the counts is judged in its own text: by the place it stands in, or by
-occurring in an e-mail address or a full name there.
+E-mail addresses, phone numbers, identity numbers and street addresses have a form of their own and are read by it. Names have none: what
+tells of a person is estimated from co-occurrence over the whole corpus, in bits. One pass reads each text and writes down its findings of
+form and its mentions: every capitalised term with what stands before and behind it. A mention co-occurs with a protected entity if its
+letters stand in an e-mail address of the same text, or if it follows a title. From these few certain cases the disclosure of each term is
+counted (how many bits its presence adds to the belief that a person is named), from the terms that of each place (the words before, the
+words or the finding behind), and from the places that of the terms again, so that a name counts that no address spells out. A mention whose
+bits from term and place pass the threshold is a person's, together with the terms beside it that do not speak against it; it is
+generalised to a placeholder. The texts are not read again: the second step only decides over what was written down.
+
+The phrases in SEEDS ("Dear", "Name:") are a prior for places: they count as PRIOR observations beside those of the corpus, so that a
+corpus too small for counts has something to go by, and in a larger one weigh little.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 _AT, _DOT = r"(?:\s?@\s?|\s?[\[(](?:at|AT|arobase)[\])]\s?|\sAT\s)", r"(?:\.|\s?[\[(](?:dot|DOT|point)[\])]\s?|\sDOT\s)"
-_MAIL_LOCAL, _MAIL_REST = re.compile(r"[\w.+-]*\w$"), re.compile(rf"{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
+_AT_SIGN, _MAIL_REST = re.compile(_AT), re.compile(rf"{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
+_WORD_AT = re.compile(r"(?<!\w)\w")
 _FIGURES = re.compile(r"\d[\d ().\-/]{4,}\d")
 _PERMIT = re.compile(r"(?<!\w)\d{2}[A-Z]{2}\d{5}(?!\w)")
 _LEFT, _RIGHT = re.compile(r"(?:\(?\+|\(|(?<!\w)[A-Z]{1,2}[ -]?)$"), re.compile(r"[ -]?[A-Z]{1,2}(?!\w)")
@@ -61,30 +68,24 @@ ADDRESSES = (
 
 _PARTICLES = ("de la", "de las", "de los", "de", "du", "del", "des", "von der", "von", "van der", "van", "di", "da")
 _PARTICLE_WORDS = {w for p in _PARTICLES for q in (p, p.upper(), p.capitalize()) for w in q.split(" ")}
-_P = "(?:(?:" + "|".join(p for q in _PARTICLES for p in (q, q.upper())) + ") )"
 _TOKEN = rf"(?:{_C}\.(?!\w)|(?:{_C}['’])?{_C}[^\W\d]*(?:-(?:{_C}['’])?{_C}[^\W\d]*)*(?!\w))"
-_NAME = rf"{_P}?{_TOKEN}(?: {_P}?{_TOKEN}){{0,3}}"
-NAME_AT = re.compile(_NAME)
-NAME_BEFORE = re.compile(rf"(?<![\w'’-])({_NAME}(?:, {_TOKEN})?)$")
-_TOKENS = re.compile(rf"(?<![\w'’-])(?:{_C}['’])?{_C}[^\W\d]+(?:-(?:{_C}['’])?{_C}[^\W\d]*)*(?!\w)")
+_MENTION = re.compile(rf"(?<![\w'’-]){_TOKEN}")
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Dr.", "Prof.", "Mme", "Mlle", "M.", "Monsieur", "Madame", "Herr", "Herrn", "Frau", "Sr.", "Sra.", "Don", "Doña", "Señor", "Señora", "Sir", "Mr.", "Mrs.", "Ms.")
-_TITLE = "(?:" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + ")"
-_ONE, _PAIR, _ITEMS = re.compile(rf"{_P}?{_TOKEN}"), re.compile(rf"{_P}?{_TOKEN}, ({_TOKEN}(?: {_TOKEN})?)"), re.compile(rf"{_NAME}(?:, {_NAME})*")
-_HEAD, _TAIL, _PIECES = re.compile(rf"(?<![\w'’-])(?:(?:{_P}?{_TOKEN}) ){{0,2}}$"), re.compile(rf"(?: {_P}?{_TOKEN}){{0,2}}"), re.compile(rf"{_P}?{_TOKEN}(?:, )?| ")
+_TITLE_WORDS = frozenset(w for t in TITLES if t != "M." for w in (t, t.rstrip(".")))
 _LOWER = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)* [^\W\d_]{2,}(?:-[^\W\d_]+)*(?![\w@.])")
-_TITLES_AT = re.compile(rf"(?:{_TITLE}\s+)+")
-# What leads to a name. full: a full name follows; list: several may; greet: a greeting or closing, where any word may follow.
-CUES = {
-    "full": ("Name:", "Name :", "Nom :", "Nom:", "Nombre:", "Curriculum vitae of", "CV de", "CV of", "Currículum de", "Lebenslauf von", "can call", "pouvez appeler", "Puede llamar a", "Rückfragen an", "spoke with", "J'ai eu", "Hablé con", "Ich habe mit",
-             "According to", "D'après", "Según", "Laut", "ask for", "demander", "preguntar por", "contact =>", "contacto =>", "Kontakt =>", "still owe", "une réponse à", "una respuesta a", "agreed with", "comme vu avec", "se habló con", "wie mit", "fragen nach"),
-    "list": ("Present:", "Présents :", "Présents:", "Presentes:", "Anwesend:"),
-    "greet": ("Dear", "Bonjour", "Hola", "Hallo", "Guten Tag", "Cher", "Chère", "Best,", "Kind regards,", "Regards,", "Un saludo,", "Hasta pronto,", "cordialement,", "Cordialement,", "À bientôt,", "Bis bald,", "Grüßen", "Yours sincerely,", "Cheers,", "Atentamente,", "Hochachtungsvoll,", "mes salutations,"),
+# Prior places. before: what leads to a name; behind: what follows one.
+SEEDS = {
+    "before": ("Name:", "Name :", "Nom :", "Nom:", "Nombre:", "Curriculum vitae of", "CV de", "CV of", "Currículum de", "Lebenslauf von", "spoke with", "According to", "D'après", "Según", "Laut", "ask for", "contact =>", "contacto =>", "Kontakt =>",
+               "Present:", "Présents :", "Présents:", "Presentes:", "Anwesend:", "Dear", "Bonjour", "Hola", "Hallo", "Cher", "Chère", "Best,", "Kind regards,", "Regards,", "Un saludo,", "Cordialement,", "Grüßen", "Yours sincerely,", "Cheers,", "Atentamente,"),
+    "behind": ("<email>", "<phone>", "<address>", "<id_number>"),
 }
-# What follows a name.
-AFTER = (" moved to ", " a déménagé au ", " wohnt seit kurzem ", " vive ahora en ", " - lives at ", ", demeurant ", " - wohnhaft ", " asked for a copy", " a demandé une copie", " bat um eine Kopie", " pidió una copia", " - domicili", ", wohnhaft ", ", con domicilio ")
-
-#: A term is taken for a person's wherever it stands if it adds so many bits to the belief; support: in so many texts that name persons by it.
-THRESHOLD_BITS, SUPPORT, SUPPORT_SHARE = 2.0, 5, 1e-4
+#: What a prior place counts as: so many observations, of which so many persons. A finding beside a mention is weaker: labels stand there too.
+PRIOR = {"before": (8.0, 7.0), "behind": (3.0, 0.5)}
+#: A term or place is judged from so many observations on; of those in fewer than SHARE of the texts, terms that disclose a person are joined, not broadcast.
+#: What speaks against a person must have been seen AGAINST times.
+SUPPORT, AGAINST, SHARE = 5, 20, 1e-4
+#: Bits from which a term alone counts as disclosing, or as speaking against a person.
+THRESHOLD_BITS, VETO_BITS = 2.0, -4.0
 
 
 # Words that betray an address by language pattern, and marks of firms.
@@ -99,16 +100,9 @@ _BEFORE_FIRM = re.compile(rf"(?:{_TOKEN} ){{1,3}}$")
 _CABINET, _AND = re.compile(rf"Cabinet (?:{_TOKEN} ?){{1,3}}"), re.compile(rf" & {_TOKEN}")
 
 
-def _cue_automaton(terms: tuple[str, ...] = ()) -> ahocorasick.Automaton:
+def _automaton() -> ahocorasick.Automaton:
     """Everything that is looked for by its letters, in one automaton: a text is scanned once."""
     words: dict[str, list[tuple[str, object]]] = {}
-    for kind, cues in CUES.items():
-        for w in cues:
-            words.setdefault(w, []).append(("cue", kind))
-    for t in TITLES:
-        words.setdefault(t + " ", []).append(("cue", "title"))
-    for w in AFTER:
-        words.setdefault(w, []).append(("cue", "after"))
     for k, streets in enumerate(_STREETS):
         for w in streets:
             words.setdefault(w, []).append(("street", k))
@@ -118,8 +112,6 @@ def _cue_automaton(terms: tuple[str, ...] = ()) -> ahocorasick.Automaton:
         words.setdefault(" " + w, []).append(("firm", "mark"))
     words.setdefault("Cabinet ", []).append(("firm", "cabinet"))
     words.setdefault(" & ", []).append(("firm", "and"))
-    for w in terms:
-        words.setdefault(w, []).append(("term", w))
     a = ahocorasick.Automaton()
     for w, what in words.items():
         a.add_word(w, (len(w), tuple(what)))
@@ -129,7 +121,7 @@ def _cue_automaton(terms: tuple[str, ...] = ()) -> ahocorasick.Automaton:
 
 def scan(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int, object]]]:
     """What the automaton finds, by sort: (start, end, detail)."""
-    out: dict[str, list[tuple[int, int, object]]] = {"cue": [], "street": [], "mail": [], "firm": [], "term": []}
+    out: dict[str, list[tuple[int, int, object]]] = {"street": [], "mail": [], "firm": []}
     for end, (n, whats) in automaton.iter(text):
         for sort, detail in whats:
             out[sort].append((end + 1 - n, end + 1, detail))
@@ -145,20 +137,19 @@ def formal_spans(text: str, hits: dict[str, list[tuple[int, int, object]]]) -> l
 
     for start, _, _ in hits["mail"]:
         at = start - 1 if start and text[start - 1] in " \t" and text[start] != " " else start
-        local = _MAIL_LOCAL.search(text[max(0, at - 80) : at])
         rest = _MAIL_REST.match(text, at) or _MAIL_REST.match(text, start)
-        if local and rest:
-            a = max(0, at - 80) + local.start()
-            if free(a, rest.end()):
-                spans.append((a, rest.end(), "email"))
+        a = at
+        while a and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
+            a -= 1
+        if rest and a < at and (text[at - 1].isalnum() or text[at - 1] == "_") and free(a, rest.end()):
+            spans.append((a, rest.end(), "email"))
     tried: dict[int, int] = {}
     for start, end, k in hits["street"]:
-        # The pattern is tried from the line or some words before the street word on, and must cover it.
-        left = max(text.rfind("\n", 0, start) + 1, start - 60, tried.get(k, 0))
-        for m in ADDRESSES[k].finditer(text, left, min(len(text), end + 110)):
-            if m.start() > end:
-                break
-            if m.end() >= end - 1 and free(*m.span()):
+        # The pattern is tried at each of the words before the street word, of which an address has so many at most, and must cover it.
+        left = max(_words_back(text, start, 9), tried.get(k, 0))
+        for w in _WORD_AT.finditer(text, left, end):
+            m = ADDRESSES[k].match(text, w.start())
+            if m and m.end() >= end - 1 and free(*m.span()):
                 spans.append((*m.span(), "address"))
                 tried[k] = m.end()
                 break
@@ -170,6 +161,16 @@ def formal_spans(text: str, hits: dict[str, list[tuple[int, int, object]]]) -> l
     return sorted(spans)
 
 
+def _words_back(text: str, at: int, n: int) -> int:
+    """Where the `n` words before a place begin, in the same line."""
+    line = text.rfind("\n", 0, at) + 1
+    for _ in range(n):
+        at = text.rfind(" ", line, at)
+        if at < 0:
+            return line
+    return at + 1
+
+
 def _number_kind(text: str, a: int, b: int) -> tuple[str | None, tuple[int, int]]:
     """What a run of figures is, and its exact extent; letters and brackets beside it count only if the form wants them."""
     while not text[b - 1].isdigit():
@@ -188,8 +189,8 @@ def _number_kind(text: str, a: int, b: int) -> tuple[str | None, tuple[int, int]
             form = text[s:e]
             phone, ident = _PHONE.fullmatch(form), _ID.fullmatch(form)
             if phone and ident:
-                before = text[max(0, s - 70) : s]
-                phone = None if _ID_WORD.search(before[-40:]) and not _CALL_WORD.search(before) else phone
+                before = text[max(text.rfind("\n", 0, s), text.rfind(". ", 0, s)) + 1 : s]
+                phone = None if _ID_WORD.search(before) and not _CALL_WORD.search(before) else phone
             if phone and not (form.startswith("(") and ")" not in form):
                 return "phone", (s, e)
             if ident:
@@ -213,9 +214,10 @@ def firm_extents(text: str, company: str | None, hits: dict[str, list[tuple[int,
             continue
         if text[end : end + 1].isalnum() and mark == "mark":
             continue
-        m = _BEFORE_FIRM.search(text[max(0, start - 60) : start] + " ")
+        left = _words_back(text, start, 3)
+        m = _BEFORE_FIRM.search(text[left:start] + " ")
         if m:
-            a = max(0, start - 60) + m.start()
+            a = left + m.start()
             if mark == "mark":
                 out.append((a, end))
             elif n := _AND.match(text, start):
@@ -223,236 +225,324 @@ def firm_extents(text: str, company: str | None, hits: dict[str, list[tuple[int,
     return out
 
 
-class NameFinder:
-    """Finds mentions of persons in a text. `bits` maps a term to its disclosure; terms it lacks are too rare to tell."""
+def _plain(word: str) -> str:
+    return word.lower().translate(str.maketrans("àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))
 
-    def __init__(self, bits: dict[str, float] | None = None, low: set[str] | None = None):
-        self.bits, self.low = bits or {}, low or set()
-        self.automaton = _cue_automaton(tuple(t for t in self.bits if self.told(t)))
 
-    def told(self, token: str) -> bool:
-        return any(self.bits.get(part, -9.0) >= THRESHOLD_BITS and part not in _PARTICLE_WORDS for part in (token, *token.split("-")))
+# What is written down of a text: its findings of form, and of each mention its term, place and (in `at`, a row of int32 a mention) start, stop, how
+# it hangs together with the one before (1: a blank or particle between them, 2: a comma), whether it certainly names a person, and where it starts if
+# a particle before it is its own, with the place it has then (`outer`). Strings are joined by _SEP, so that a text is some few values and not hundreds.
+_SEP, _FIELDS = "\x1f", 5
+NOTED = "forms binary, kinds string, term string, before string, behind string, outer string, at binary"
+
+
+def _words_before(text: str, at: int) -> str:
+    """The three words before a place, in lower case."""
+    i = text.rfind(" ", 0, at - 1) if at > 1 else -1
+    i = text.rfind(" ", 0, i) if i > 0 else -1
+    i = text.rfind(" ", 0, i) if i > 0 else -1
+    return text[i + 1 : at].lower()
+
+
+def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton) -> tuple[list[tuple[int, int, str]], list[str], list[str], list[str], list[str], list[int]]:
+    """Findings of form; terms, places before and behind, places before a particle; _FIELDS numbers a mention."""
+    hits = scan(text, automaton)
+    spans = formal_spans(text, hits)
+    closed = sorted([*((a, b) for a, b, _ in spans), *firm_extents(text, company, hits)])
+    closed.append((len(text) + 1, len(text) + 1))
+    mails = [p for a, b, k in spans if k == "email" for p in re.split(r"[^a-z]+", _plain(_AT_SIGN.split(text[a:b], 1)[0])) if p]
+    terms, befores, behinds, outers, numbers = [], [], [], [], []
+    last, titled, shut, reach, form = -9, False, 0, 0, 0
+    nearest = spans[0][0] if spans else 1 << 60
+    find, rfind = text.find, text.rfind
+    for m in _MENTION.finditer(text):
+        a, b = m.span()
+        while closed[shut][0] < b:
+            reach = max(reach, closed[shut][1])
+            shut += 1
+        if reach > a:
+            continue
+        word = m[0]
+        # "M." is a title or an initial: it stays a mention, and what follows it is sure.
+        if word in _TITLE_WORDS:
+            titled, last = True, -9
+            continue
+        gap = a - last
+        if gap == 1 and word in _PARTICLE_WORDS and text[last] == " ":
+            # A particle in capitals is a link, no term.
+            last = b
+            continue
+        link = 0
+        if last >= 0 and 0 < gap < 14:
+            between = text[last:a]
+            link = 1 if between == " " or between[0] == " " and all(w in _PARTICLE_WORDS for w in between.split()) else 2 if between == ", " else 0
+        i = rfind(" ", 0, a - 1) if a > 1 else -1
+        start, outer, lead, sure = a, "", a, False
+        if titled or link == 1 or text[i + 1 : a - 1] in _PARTICLE_WORDS or text[rfind("\n", 0, a) + 1 : a - 1] in _PARTICLE_WORDS:
+            # Particles before a mention belong to it behind a title, and where no word stands before them.
+            j = a
+            while j > 1 and text[j - 1] == " " and (q := max(rfind(" ", 0, j - 1), rfind("\n", 0, j - 1)) + 1) < j and text[q : j - 1] in _PARTICLE_WORDS:
+                j = q
+            head = text[j - 12 if j > 12 else 0 : j].rstrip(" \t\n")
+            after_m = link == 1 and terms[-1] == "m."
+            sure = titled and head.endswith(TITLES) or after_m
+            if j < a and (not link and (sure or not head[-1:].isalnum()) or after_m):
+                start = lead = j
+            elif j < a and not link:
+                outer, lead = _words_before(text, j), j
+            titled = False
+        if start == a:
+            i = rfind(" ", 0, i) if i > 0 else -1
+            i = rfind(" ", 0, i) if i > 0 else -1
+            before = text[i + 1 : a].lower()
+        else:
+            before = _words_before(text, start)
+        while nearest < b:
+            form += 1
+            nearest = spans[form][0] if form < len(spans) else 1 << 60
+        if nearest - b <= 6 and not any(c.isalnum() for c in text[b:nearest]):
+            behind = f"<{spans[form][2]}>"
+        else:
+            e = find(" ", b + 1)
+            e = find(" ", e + 1) if e > 0 else e
+            behind = text[b:e].lower() if e > 0 else text[b:].lower()
+            if "\n" in behind:
+                behind = behind[: behind.index("\n") + 1]
+        if mails and not sure and len(word) > 2:
+            # Short words count as a part of the address or at the start of one only.
+            w = re.sub(r"[^a-z]", "", _plain(word))
+            sure = any(w in x if len(w) > 4 else w == x or len(w) == 4 and x.startswith(w) for x in mails) if len(w) > 2 else False
+        terms.append(word.lower())
+        befores.append(before)
+        behinds.append(behind)
+        outers.append(outer)
+        numbers += (start, b, link, sure, lead)
+        last = b
+    return spans, terms, befores, behinds, outers, numbers
+
+
+def mentions(documents: DataFrame, *kept: str) -> DataFrame:
+    """`doc_id`, the columns of NOTED and those `kept`: what each text holds, in one pass over the texts."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton()
+        for b in batches:
+            rows = []
+            for text, company in zip(b["text"], b["company"]):
+                if not text:
+                    rows.append((b"", "", "", "", "", "", b""))
+                    continue
+                spans, *words, numbers = read_text(text.replace(_SEP, " "), company, automaton)
+                rows.append((np.array([x[:2] for x in spans], np.int32).tobytes(), _SEP.join(k for _, _, k in spans), *map(_SEP.join, words), np.array(numbers, np.int32).tobytes()))
+            noted = pd.DataFrame(rows, columns=["forms", "kinds", "term", "before", "behind", "outer", "at"], index=b.index)
+            yield pd.concat([b[["doc_id", *kept]], noted], axis=1)
 
-    def _trim(self, text: str, a: int, b: int) -> tuple[int, int]:
-        """The longest head of a span whose terms do not disclose too little."""
-        end = a
-        for m in _PIECES.finditer(text[a:b]):
-            word = m[0].strip(" ,").split(" ")[-1]
-            if word in self.low:
+    have = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("company").cast("string"))
+    return have.mapInPandas(read, "doc_id bigint, " + "".join(f"{c} string, " for c in kept) + NOTED)
+
+
+# Places from the longest to the shortest: three, two and one word before, the marks alone; two words behind, one, the marks alone.
+_LEVELS = {"before": (r"(?s)(\S+\s+\S+\s+\S+\s*)$", r"(?s)(\S+\s+\S+\s*)$", r"(?s)(\S+\s*)$", r"(?s)([^\w]*)$"), "behind": (r"(?s)^(.*)$", r"(?s)^(\s*\S+\s?)", r"(?s)^([^\w]*)")}
+
+
+def place_keys(side: str, text: Column) -> Column:
+    """The places a string stands for, the longest first, each with its level; marks that are not there make none."""
+    found = F.array(*[F.concat(F.lit(f"{side}{k} "), F.regexp_extract(text, r.replace("[^\\w]", "[^\\p{L}\\p{N}_]"), 1)) for k, r in enumerate(_LEVELS[side])])
+    return F.filter(found, lambda x: F.length(x) > len(side) + 2)
+
+
+class Judge:
+    """Bits of terms and places. `terms`: term to log odds of a person; `places`: key to bits; `base`: log odds of any mention."""
+
+    def __init__(self, terms: dict[str, float], places: dict[str, float], base: float):
+        self.terms, self.places, self.base = terms, places, base
+        self.levels = {side: [re.compile(r) for r in rs] for side, rs in _LEVELS.items()}
+        self.memo: dict[str, dict[str, float]] = {side: {} for side in _LEVELS}
+
+    def place(self, side: str, text: str) -> float:
+        """Bits of the longest place that has been judged."""
+        memo = self.memo[side]
+        if (x := memo.get(text)) is not None:
+            return x
+        x = 0.0
+        for k, r in enumerate(self.levels[side]):
+            m = r.search(text)
+            if m and m[1] and (y := self.places.get(f"{side}{k} {m[1]}")) is not None:
+                x = y
                 break
-            if m[0] != " ":
-                end = a + m.end() - (2 if m[0].endswith(", ") else 0)
-        return a, end
-
-    def find(self, text: str, spans: list[tuple[int, int, str]], firms: list[tuple[int, int]], hits: dict[str, list[tuple[int, int, object]]]) -> list[tuple[int, int]]:
-        taken = [(a, b) for a, b, _ in spans]
-        found: dict[int, int] = {}
-
-        def blocked(a: int, b: int) -> bool:
-            return any(a < e and s < b for s, e in taken) or any(a < e and s < b for s, e in firms)
-
-        def put(a: int, b: int) -> int:
-            a, b = self._trim(text, a, b)
-            if b <= a or blocked(a, b) or (b - a == 2 and text[a + 1] == "."):
-                return b
-            for s, e in list(found.items()):
-                if a < e and s < b:
-                    if b - a <= e - s:
-                        return e
-                    del found[s]
-            found[a] = b
-            return b
-
-        def skip(at: int) -> int:
-            while at < len(text) and text[at] in " \t\r\n  (":
-                at += 1
-            return at
-
-        for start, end, kind in hits["cue"]:
-            end -= 1
-            if kind != "after" and start and (text[start - 1].isalnum() or text[start - 1] in "-'’"):
-                continue
-            if kind == "after":
-                left = text[max(0, start - 80) : start]
-                if m := NAME_BEFORE.search(left.split("\n")[-1]):
-                    whole = m[1]
-                    at = start - len(whole)
-                    # "Last, First" is one mention; otherwise only what stands behind the comma.
-                    if t := _TITLES_AT.match(whole):
-                        at += t.end()
-                    put(at, start)
-                continue
-            at = skip(end + 1)
-            if kind == "greet" and (t := _TITLES_AT.match(text, at)):
-                at = skip(t.end())
-                kind = "title"
-            m = NAME_AT.match(text, at)
-            if not m and kind == "full" and (m := _LOWER.match(text, at)) and not any(self.told(w[:1].upper() + w[1:]) for w in m[0].split(" ")):
-                continue
-            if not m or (kind != "title" and m[0] in TITLES):
-                continue
-            if kind == "title":
-                # A title is followed by a surname: one word, with its particles, unless more of the name is known.
-                if text[start - 1 : start] not in ("", " ", "\n", "(", ",", ".", ":", ";", "\t", "\r", ">"):
+        if len(memo) > 200_000:
+            memo.clear()
+        memo[text] = x
+        return x
+
+    def names(self, terms: list[str], before: list[str], behind: list[str], outer: list[str], start: list[int], stop: list[int], link: list[int], sure: list[int], lead: list[int], rare: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+        """Extents of the mentions of persons."""
+        n, base, first, then = len(terms), self.base, self.memo["before"], self.memo["behind"]
+        known, person, led = [], [], []
+        for k in range(n):
+            initial, odds = terms[k][-1] == ".", self.terms.get(terms[k])
+            if odds is None and "-" in terms[k]:
+                odds = max((o for w in terms[k].split("-") if (o := self.terms.get(w)) is not None), default=None)
+            if odds is None and terms[k] in rare:
+                odds = base + THRESHOLD_BITS
+            lean = 0.0 if odds is None or initial else odds - base
+            told = lean >= THRESHOLD_BITS
+            led.append(x if (x := first.get(before[k])) is not None else self.place("before", before[k]))
+            bits = led[k] + (x if (x := then.get(behind[k])) is not None else self.place("behind", behind[k]))
+            known.append(1 if told else -1 if lean <= -THRESHOLD_BITS else 0)
+            # A term that speaks against a person is one's only in a place where hardly anything else stands.
+            person.append(sure[k] and known[k] >= 0 or (told and bits > -2 * THRESHOLD_BITS) or (known[k] == 0 and base + bits + lean >= 0) or (known[k] < 0 and base + led[k] >= THRESHOLD_BITS))
+        if not any(person):
+            return []
+        # What hangs together with a person's term and does not speak against it belongs to the mention.
+        for order in (range(1, n), range(n - 2, -1, -1)):
+            for k in order:
+                j = k - 1 if order.step > 0 else k + 1
+                if person[k] or not person[j] or link[max(j, k)] != 1 or (terms[k] == "m." and j > k):
                     continue
-                t = _TITLES_AT.match(text, at)
-                if t:
-                    continue
-                one = _ONE.match(text, at)
-                put(at, one.end() if one else m.end())
-                continue
-            if kind == "greet" and start > 0 and text[end] not in ",n" and not text[start - 1].isspace():
-                continue
-            b = m.end()
-            pair = _PAIR.match(text, at)
-            if kind == "list":
-                items = _ITEMS.match(text, at)
-                parts, p = [], at
-                for item in items[0].split(", "):
-                    parts.append((p, p + len(item)))
-                    p += len(item) + 2
-                if len(parts) > 2 and " " not in text[parts[0][0] : parts[0][1]]:
-                    parts[:2] = [(parts[0][0], parts[1][1])]
-                for p in parts:
-                    put(*p)
-                continue
-            if pair and kind == "full" and m[0] == pair[0].split(", ")[0] and pair[1].split(" ")[0] not in self.low:
-                b = pair.end()
-            if kind == "greet" and m[0].split(" ")[0] in self.low:
-                continue
-            # A closing can be signed "Last, First".
-            if kind == "greet" and pair and m[0] == pair[0].split(", ")[0] and self.told(pair[1].split(" ")[0]):
-                b = pair.end()
-            put(at, b)
-        # A line, or the start of one, that is a name and leads to a number, an address or a line of such.
-        heads = {a for a, _ in taken}
-        for a in heads:
-            left = text[:a].rstrip(" \t\r\n;|,(<>-=/")
-            gap = text[len(left) : a]
-            if len(gap) > 6 or not gap:
-                continue
-            line = left[max(0, len(left) - 90) :].split("\n")[-1]
-            if m := NAME_BEFORE.search(line):
-                at = len(left) - len(m[1])
-                whole = m[1]
-                if ", " in whole and not self.told(whole.split(", ")[1]) and self.bits:
-                    whole = whole.split(", ")[1]
-                    at = len(left) - len(whole)
-                words = re.findall(_TOKEN, whole)
-                lead = text[:at].rstrip(" ")
-                if any(at < e and x < at + len(whole) for x, e in found.items()):
-                    continue
-                fresh = not lead or lead[-1] in "\n;|>.:"
-                if words and words[0] not in self.low and words[-1] not in self.low and (fresh or any(self.told(w) for w in words)) and len(words) > (0 if any(self.told(w) for w in words) else 1):
-                    put(at, at + len(whole))
-        # Terms that disclose a person wherever they stand, and terms this very text links to one.
-        mails = " ".join(text[a:b].lower() for a, b, k in spans if k == "email")
-        linked = {t for a, b in found.items() for t in re.findall(r"[^\W\d_][\w'’-]{3,}", text[a:b])} - self.low
-        places = [(a, b) for a, b, _ in hits["term"]]
-        for t in linked:
-            at = text.find(t)
-            while at >= 0:
-                places.append((at, at + len(t)))
-                at = text.find(t, at + len(t))
-        if mails:
-            places += [m.span() for m in _TOKENS.finditer(text) if len(m[0]) > 4 and m[0] not in self.low and re.sub(r"[^a-z]", "", _plain(m[0])) in mails]
-        for a, b in sorted(set(places)):
-            if (a and (text[a - 1].isalnum() or text[a - 1] in "'’-")) or (b < len(text) and text[b].isalnum()):
-                continue
-            b = _ONE.match(text, a).end() if _ONE.match(text, a) else b
-            if any(s <= a < e for s, e in found.items()) or blocked(a, b):
-                continue
-            # The whole mention: terms beside it that do not disclose too little.
-            line = text[max(0, a - 50) : a].split("\n")[-1]
-            whole = _HEAD.search(line)
-            start = a - (len(whole[0]) if whole else 0)
-            while start < a:
-                head = _ONE.match(text, start)
-                if head and head.end() <= a and head[0].split(" ")[-1] not in self.low and head[0] not in TITLES:
-                    break
-                start = text.find(" ", start, a) + 1 or a
-            put(start, _TAIL.match(text, b).end())
-        return sorted(found.items())
-
+                # A blank links to either side, a particle to what stands before a surname.
+                near = start[max(j, k)] - stop[min(j, k)] == 1
+                person[k] = (known[k] >= 0 and (near or known[k] == 1 or j < k or terms[k][-1] == ".")) or (known[k] < 0 and known[j] < 0 and near and j < k)
+        out: list[list] = []
+        for k in range(n):
+            # "Last, First" is one mention where a name may begin, if the last name stands alone and is none that is known from elsewhere.
+            line = not before[k] or before[k][-1] == "\n"
+            fresh = line or (base + max(led[k], self.place("before", outer[k]) if outer[k] else led[k]) >= 0 and not before[k].rstrip().endswith(","))
+            pair = k + 1 < n and link[k + 1] == 2 and link[k] != 1 and fresh and (known[k] == 0 or known[k] == 1 and sure[k])
+            if pair and (known[k + 1] == 1 or person[k + 1] and (person[k] or line)) and not (out and out[-1][2] == k):
+                e = k + 1
+                while e + 1 < n and link[e + 1] == 1 and person[e + 1] and start[e + 1] - stop[e] == 1:
+                    e += 1
+                out.append([lead[k] if outer[k] and base + self.place("before", outer[k]) >= 0 else start[k], stop[e], e])
+            elif person[k] and not (out and out[-1][2] >= k):
+                if out and link[k] == 1 and out[-1][2] == k - 1:
+                    out[-1][1:] = [stop[k], k]
+                else:
+                    own = outer[k] and known[k] < 1 and base + self.place("before", outer[k]) >= 0
+                    out.append([lead[k] if own else start[k], stop[k], k])
+        return [(a, b) for a, b, k in out if not (b - a == 2 and terms[k][-1] == ".")]
+
+
+def _odds(p: float, q: float, base: float) -> float:
+    """Log odds of p against q in bits, two observations at the base rate added."""
+    share = 1 / (1 + 2.0**-base)
+    return math.log2((p + 2 * share) / (q + 2 * (1 - share)))
+
+
+def _prior_places() -> dict[str, tuple[float, float]]:
+    """(persons, others) of the places in SEEDS."""
+    out = {}
+    n, p = PRIOR["before"]
+    for phrase in SEEDS["before"]:
+        words = phrase.lower().count(" ") + 1
+        for end in (" ", "\n"):
+            out[f"before{3 - min(words, 3)} {' '.join(phrase.lower().split(' ')[-3:])}{end}"] = (p, n - p)
+    n, p = PRIOR["behind"]
+    for k in range(2):
+        for word in SEEDS["behind"]:
+            out[f"behind{k} {word}"] = (p, n - p)
+    return out
 
-def _plain(word: str) -> str:
-    return word.lower().translate(str.maketrans("àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))
 
+def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
+    """(the bits of terms and places that occur in a share of the texts, the rarer terms that disclose a person as `term`).
 
-def term_counts(documents: DataFrame) -> DataFrame:
-    """`term, persons, texts`: in how many texts a capitalised term stands, and in how many it stands where a person is named."""
+    What is collected and broadcast: terms and places seen at least max(SUPPORT, SHARE x texts) times, so at most (mentions a text) x 8 / SHARE,
+    however large the corpus. Rarer terms from SUPPORT on are judged alike and stay on the cluster.
+    """
+    spark = noted.sparkSession
+    total = noted.where("term <> ''").count()
+    least = max(SUPPORT, SHARE * total)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = NameFinder()
         for b in batches:
-            persons: Counter[str] = Counter()
-            texts: Counter[str] = Counter()
-            for text, company in zip(b["text"], b["company"]):
-                if not text:
-                    continue
-                hits = scan(text, finder.automaton)
-                spans, firms = formal_spans(text, hits), firm_extents(text, company, hits)
-                named = {p for s, e in finder.find(text, spans, firms, hits) for t in _TOKENS.findall(text[s:e]) for p in (t, *t.split("-"))}
-                rest, at = [], 0
-                for s, e in sorted([*firms, *((s, e) for s, e, _ in spans)]):
-                    rest.append(text[at:s])
-                    at = max(at, e)
-                seen = {p for t in set(_TOKENS.findall("\n".join([*rest, text[at:]]))) for p in (t, *t.split("-"))}
-                persons.update(named & seen)
-                texts.update(seen)
-            yield pd.DataFrame({"term": list(texts), "persons": [persons[t] for t in texts], "texts": list(texts.values())}, columns=["term", "persons", "texts"])
-
-    rows = documents.select("text", "company").mapInPandas(count, "term string, persons bigint, texts bigint")
-    return rows.groupBy("term").agg(F.sum("persons").alias("persons"), F.sum("texts").alias("texts"))
-
-
-def disclosures(documents: DataFrame) -> tuple[dict[str, float], set[str]]:
-    """(bits of the terms that name persons, terms that are common and disclose little).
-
-    Every text is counted. Only terms in more than SUPPORT_SHARE of the texts are judged by their counts, so however large the corpus, there
-    are at most (capitalised terms in a text) / SUPPORT_SHARE of them: a proven bound for what is broadcast.
-    """
-    counts = cut(term_counts(documents))
-    total = counts.agg(F.sum("persons").alias("p"), F.sum("texts").alias("t"), F.max("texts").alias("m")).first()
-    if not total["t"]:
-        return {}, set()
-    base = (total["p"] + 1) / (total["t"] + 2)
-    least = max(SUPPORT, SUPPORT_SHARE * total["m"])
-    judged = counts.where(F.col("texts") >= least).collect()
-    bits = {r["term"]: math.log2((r["persons"] + 0.5) / (r["texts"] + 1) / base) for r in judged}
-    share = {r["term"]: r["persons"] / r["texts"] for r in judged}
-    told = {t: b for t, b in bits.items() if share[t] >= 0.5 and b >= min(THRESHOLD_BITS, math.log2(0.5 / base))}
-    return {t: max(b, THRESHOLD_BITS) for t, b in told.items()}, {t for t, s in share.items() if s < 0.2}
-
-
-def findings(documents: DataFrame) -> DataFrame:
-    """`doc_id, kind, start_pos, length, redacted`: one row per finding, and one with a NULL kind per text that carries the redacted text.
-
-    NULL and empty texts give a row with the text as it is and no findings. Repeated rows give repeated findings.
+            seen: Counter[tuple[str, str, str]] = Counter()
+            certain: Counter[tuple[str, str, str]] = Counter()
+            for term, before, behind, at in zip(b["term"], b["before"], b["behind"], b["at"]):
+                if term:
+                    here = list(zip(term.split(_SEP), before.split(_SEP), behind.split(_SEP)))
+                    seen.update(here)
+                    certain.update(itertools.compress(here, np.frombuffer(at, np.int32)[3::_FIELDS].tolist()))
+            t, l, r = zip(*seen) if seen else ((), (), ())
+            yield pd.DataFrame({"term": t, "before": l, "behind": r, "n": list(seen.values()), "s": [certain[k] for k in seen]}).astype({"n": "int64", "s": "int64"})
+
+    each = noted.select("term", "before", "behind", "at").mapInPandas(count, "term string, before string, behind string, n bigint, s bigint")
+    places = cut(each.groupBy("term", "before", "behind").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    prior = _prior_places()
+    priors = spark.createDataFrame([(k, p, q) for k, (p, q) in prior.items()], "key string, p double, q double")
+    judge = Judge({}, {}, -4.0)
+
+    def odds(base: float) -> Column:
+        share = 1 / (1 + 2.0**-base)
+        return F.log2((F.col("s") + 2 * share) / (F.col("n") - F.col("s") + 2 * (1 - share)))
+
+    by = cut(places.groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("s")))
+    for k in range(rounds + 1):
+        t = by.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+        if not t["n"]:
+            return judge, by.select("term")
+        base = math.log2((t["s"] + 1) / (t["n"] - t["s"] + 10))
+        judged = by.where((F.col("n") >= SUPPORT) & ~F.col("term").endswith(".")).withColumn("odds", odds(base)).where((F.col("n") >= AGAINST) | (F.col("odds") >= base))
+        if k == rounds:
+            common = judged.where(F.col("n") >= least).select("term", "odds").collect()
+            rare = judged.where((F.col("n") < least) & (F.col("odds") - base >= THRESHOLD_BITS)).select("term")
+            return Judge({r["term"]: r["odds"] for r in common}, judge.places, base), rare
+        if k == 0:
+            # A term that is often there and never a certain case, as labels are, speaks against a person whatever place it stands in.
+            places = cut(places.join(judged.where(F.col("odds") - base <= VETO_BITS).select("term", F.lit(True).alias("never")), "term", "left"))
+        label = judged.select("term", F.when(F.col("odds") - base >= THRESHOLD_BITS, 1).when(F.col("odds") - base <= -THRESHOLD_BITS, 0).alias("label")).where("label is not null")
+        # Terms without a label count by their certain cases, the others at half.
+        known = places.join(label, "term", "left").withColumn("p", F.when(F.col("label") == 1, F.col("n")).when(F.col("label") == 0, 0).otherwise(F.col("s"))).withColumn("q", F.when(F.col("label") == 1, 0).when(F.col("label") == 0, F.col("n")).otherwise((F.col("n") - F.col("s")) / 2))
+        keys = known.select("p", "q", F.explode(F.concat(place_keys("before", F.col("before")), place_keys("behind", F.col("behind")))).alias("key"))
+        counts = keys.groupBy("key").agg(F.sum("p").cast("double").alias("p"), F.sum("q").cast("double").alias("q"))
+        counts = counts.unionByName(priors).groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where((F.col("p") + F.col("q") >= least) | F.col("key").isin(*prior)).collect()
+        whole = known.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+        middle = math.log2(((whole["p"] or 0) + 1) / ((whole["q"] or 0) + 10))
+        judge = Judge({}, {r["key"]: _odds(r["p"], r["q"], middle) - middle for r in counts}, middle)
+        held = spark.sparkContext.broadcast(judge)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                j = held.value
+                yes = [not v and (x > 0 or j.base + j.place("before", l) + j.place("behind", r) >= 0) for v, x, l, r in zip(b["never"].notna(), b["s"], b["before"], b["behind"])]
+                yield b[["term", "n"]].assign(s=b["n"].where(pd.Series(yes, index=b.index), 0).astype("float64"))
+
+        by = cut(places.mapInPandas(score, "term string, n bigint, s double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    raise AssertionError("unreachable")
+
+
+def findings(documents: DataFrame, *kept: str) -> DataFrame:
+    """`doc_id, starts, stops, kinds` and the columns `kept`, a row a document: all findings in order, positions from 0.
+
+    NULL and empty texts have none. Repeated rows have the same findings each.
     """
-    bits, low = disclosures(documents)
-    held = documents.sparkSession.sparkContext.broadcast((bits, low))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = NameFinder(*held.value)
+    noted = cut(mentions(documents, *kept))
+    judge, rare = learned(noted)
+    held = documents.sparkSession.sparkContext.broadcast(judge)
+    # A text with rare disclosing terms gets them joined; where there are none, as in all but large corpora, nothing is shuffled.
+    if rare.limit(1).count():
+        row = noted.withColumn("row", F.monotonically_increasing_id())
+        row = cut(row)
+        own = row.select("row", F.explode(F.split("term", _SEP)).alias("term")).join(rare, "term").groupBy("row").agg(F.collect_set("term").alias("rare"))
+        noted = row.join(own, "row", "left").drop("row")
+    else:
+        noted = noted.withColumn("rare", F.lit(None).cast("array<string>"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = held.value
         for b in batches:
-            out = []
-            for key, text, company in zip(b["doc_id"], b["text"], b["company"]):
-                spans = text_findings(text, company, finder)
-                out += [(key, kind, a + 1, e - a, None) for a, e, kind in spans]
-                out.append((key, None, None, None, redact(text, spans)))
-            d = pd.DataFrame(out, columns=["doc_id", "kind", "start_pos", "length", "redacted"])
-            yield d.astype({"start_pos": "Int64", "length": "Int64", "doc_id": "Int64"})
-
-    return documents.select(F.col("doc_id").cast("long"), "text", "company").mapInPandas(find, "doc_id bigint, kind string, start_pos bigint, length bigint, redacted string")
-
+            out: dict[str, list] = {"starts": [], "stops": [], "kinds": []}
+            for forms, kinds, term, before, behind, outer, at, own in zip(*[b[c] for c in ("forms", "kinds", "term", "before", "behind", "outer", "at", "rare")]):
+                found = [(x, y, k) for (x, y), k in zip(np.frombuffer(forms, np.int32).reshape(-1, 2).tolist(), kinds.split(_SEP))]
+                if term:
+                    numbers = np.frombuffer(at, np.int32).reshape(-1, _FIELDS).T.tolist()
+                    names = judge.names(term.split(_SEP), before.split(_SEP), behind.split(_SEP), outer.split(_SEP), *numbers, frozenset() if own is None else frozenset(own))
+                    found = sorted([*found, *((x, y, "name") for x, y in names)])
+                for c, v in zip(out, zip(*found) if found else ([], [], [])):
+                    out[c].append(list(v))
+            yield b[["doc_id", *kept]].assign(**{c: pd.Series(v, index=b.index, dtype=object) for c, v in out.items()})
 
-def text_findings(text: str | None, company: str | None, finder: NameFinder) -> list[tuple[int, int, str]]:
-    if not text:
-        return []
-    hits = scan(text, finder.automaton)
-    spans, firms = formal_spans(text, hits), firm_extents(text, company, hits)
-    return sorted(spans + [(a, b, "name") for a, b in finder.find(text, spans, firms, hits)])
+    return noted.mapInPandas(decide, "doc_id bigint, " + "".join(f"{c} string, " for c in kept) + "starts array<int>, stops array<int>, kinds array<string>")
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -468,9 +558,16 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 def found_data(documents: DataFrame) -> DataFrame:
     """`doc_id, kind, start_pos` of each finding, once."""
-    return findings(documents).where("kind is not null").select("doc_id", "kind", "start_pos").distinct()
+    each = findings(documents).select("doc_id", F.explode(F.arrays_zip("starts", "kinds")).alias("f"))
+    return each.select("doc_id", F.col("f.kinds").alias("kind"), (F.col("f.starts") + 1).cast("long").alias("start_pos")).distinct()
 
 
 def redacted_texts(documents: DataFrame) -> DataFrame:
     """`doc_id, text`: every text, with placeholders for what was found."""
-    return findings(documents).where("kind is null").select("doc_id", F.col("redacted").alias("text"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [redact(t, list(zip(x.tolist(), y.tolist(), k.tolist()))) for t, x, y, k in zip(b["text"], b["starts"], b["stops"], b["kinds"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": pd.Series(texts, index=b.index, dtype=object)})
+
+    return findings(documents, "text").mapInPandas(write, "doc_id bigint, text string")

@@ -393,7 +393,24 @@ def test_personal_data(spark):
     assert pii.found_data(df.limit(0)).count() == 0
 
 
-def test_disclosure_counts_all_texts(spark):
-    rows = [(k, f"Name: Greta Vo{k}\nBudget line.", None) for k in range(8)] + [(50 + k, "Budget report for the Council", None) for k in range(8)]
-    bits, low = pii.disclosures(spark.createDataFrame(rows, "doc_id bigint, text string, company string"))
-    assert bits["Greta"] >= pii.THRESHOLD_BITS and "Budget" in low and "Greta" not in low
+def test_disclosure_is_learned_from_co_occurrence(spark):
+    """A place that no prior names is learned from the names that addresses spell out, and tells of names that no address does."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    people = [(word(), word()) for _ in range(12)]
+    rows = [(k, f"Then the board asked {a} {b} about it.\nBudget of the Council stands. Write to {a.lower()}.{b.lower()}@post.example", None) for k, (a, b) in enumerate(people * 5)]
+    rows += [(100 + k, f"Then the board asked {word()} {word()} about it.\nBudget of the Council stands.", None) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, company string")
+    judge, rare = pii.learned(pii.mentions(docs))
+    lean = lambda t: judge.terms[t] - judge.base
+    assert lean(people[0][0].lower()) >= pii.THRESHOLD_BITS and lean("budget") <= -pii.THRESHOLD_BITS and rare.count() == 0
+    got = {(r["doc_id"], r["start_pos"]) for r in pii.found_data(docs).where("kind = 'name'").collect()}
+    assert got == {(k, len("Then the board asked ") + 1) for k, _, _ in rows}
+
+
+def test_rare_terms_are_joined(spark, monkeypatch):
+    rows = [(k, "Name: Greta Vo\nThe budget stands.", None) for k in range(8)] + [(50 + k, "Greta is at the Council", None) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, company string")
+    want = {tuple(r) for r in pii.found_data(docs).collect()}
+    monkeypatch.setattr(pii, "SHARE", 0.9)
+    assert pii.learned(pii.mentions(docs))[1].count() > 0 and {tuple(r) for r in pii.found_data(docs).collect()} >= {w for w in want if w[0] < 50}
