@@ -137,27 +137,28 @@ def equal_cells(a: Column, b: Column, bits: int) -> Column:
     return F.lit(64 // bits) * F.size(a) - F.aggregate(x, F.lit(0), lambda acc, w: acc + differing(w))
 
 
-def candidate_pairs(classes: DataFrame, most_in_bucket: int) -> DataFrame:
-    """`a, b` (a < b): links that keep what shares a band key connected, for components; not every pair, for which there is `likely_pairs`.
+#: A bucket is hot if so many of every RATE-th class, by hash, stand in it: some 500 classes and more.
+RATE, HOT = 64, 8
 
-    A bucket of up to `most_in_bucket` classes is paired out. In a larger one each member is linked to its least members under as
-    many orders as it would have had partners, by a map-side combine: no bucket is gathered, and components close the links.
-    """
-    keyed = classes.select("class", F.explode("bands").alias("bucket"))
-    # A class can stand in a bucket as often as tasks have signed it; sets drop the repetitions.
-    counted = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
-    small = counted.where(F.col("n") <= most_in_bucket).groupBy("bucket").agg(F.sort_array(F.collect_set("class")).alias("m")).where(F.size("m") > 1)
-    pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    large = counted.where(F.col("n") > most_in_bucket).select("class", "bucket")
-    long = classes.select("class", F.explode("long").alias("bucket"))
 
-    def star(rows: DataFrame, orders: int) -> DataFrame:
-        by = [F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class"))["class"].alias(f"c{k}") for k in range(orders)]
-        centres = rows.groupBy("bucket").agg(*by, F.count("*").alias("n")).where("n > 1")
-        return rows.join(centres, "bucket").select(F.col("class").alias("a"), F.explode(F.array(*[f"c{k}" for k in range(orders)])).alias("b"))
+def dealt_buckets(keyed: DataFrame, block: int) -> DataFrame:
+    """`class, bucket, blocks, own`: the rows of `keyed(class, bucket)` that share their bucket with another, dealt into blocks of about `block` classes.
 
-    linked = star(large, 8).unionByName(star(long, 1)).where("a != b")
-    return pairs.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    Which buckets are hot is estimated from a sample of the classes; it decides only how the rows travel. A hot bucket's rows are dealt where they are, so
+    that they never meet in one task; the rows of the others are counted bucket by bucket, which is small work as none of them is large.
+    """
+    sample = keyed.where(F.pmod(F.xxhash64("class"), F.lit(RATE)) == 0)
+    hot = cut(sample.groupBy("bucket").agg(F.count_distinct("class").alias("n")).where(F.col("n") >= HOT).select("bucket", F.ceil(F.col("n") * RATE / F.lit(block)).cast("int").alias("blocks")))
+    many, cold, warm = hot.count(), keyed, None
+    if many:
+        side = broadcast_if_small(hot, many)
+        cold = keyed.join(side, "bucket", "left_anti")
+        warm = keyed.join(side, "bucket").dropDuplicates(["bucket", "class"])
+    # Partitioned by bucket already, the repetitions of a class go and the rest is counted without another shuffle.
+    own = cold.repartition("bucket").dropDuplicates(["bucket", "class"])
+    shared = own.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("class", "bucket", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    every = shared if warm is None else shared.unionByName(warm.select("class", "bucket", "blocks"))
+    return every.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
 
 
 def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block: int) -> DataFrame:
@@ -167,11 +168,7 @@ def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block:
     about `block`, and each two blocks, and each block with itself, make a group that is compared by itself, so that a bucket of any size is compared
     in full and no group is large. Pairs that are not alike go no further than the task they meet in.
     """
-    # Partitioned by bucket already, the repetitions of a class go and the rest is counted without another shuffle.
-    keyed = classes.select("class", F.explode("bands").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "class"])
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    dealt = shared.select("class", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("own"))
+    dealt = dealt_buckets(classes.select("class", F.explode("bands").alias("bucket")), block)
     met = dealt.select("class", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     signed = classes.select("class", "cells").dropDuplicates(["class"])
     grouped = met.select("class", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own").join(signed, "class")
@@ -221,7 +218,7 @@ def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block:
     return placed.mapInPandas(compare, "a bigint, b bigint, s double").dropDuplicates(["a", "b"])
 
 
-def similar_texts(texts: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 44, rows: int = 4, cells: int = 128, bits: int = 8, zone: float = 0.13, block: int = 256) -> tuple[DataFrame, DataFrame]:
+def similar_texts(texts: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 44, rows: int = 4, cells: int = 64, bits: int = 8, zone: float = 0.19, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(`members(key, class)`, `pairs(a, b)`): the class of each text, and the classes whose similarity reaches `threshold`.
 
     `texts(key, text)`. Similarity is that of the distinct runs of `width` words. Estimates within `zone` of the threshold, more than
