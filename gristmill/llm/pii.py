@@ -1,13 +1,14 @@
 """Personal data in free text: found, and replaced with typed placeholders.
 
 E-mail addresses, phone numbers, identity numbers and street addresses have a form of their own and are read by it. Names have none: what
-tells of a person is estimated from co-occurrence over the whole corpus, in bits. One pass reads each text and writes down its findings of
-form and its mentions: every capitalised term with what stands before and behind it. A mention co-occurs with a protected entity if its
-letters stand in an e-mail address of the same text, or if it follows a title. From these few certain cases the disclosure of each term is
+tells of a person is estimated from co-occurrence over the whole corpus, in bits. A mention of a capitalised term co-occurs with a protected
+entity if its letters stand in an e-mail address of the same text, or if it follows a title; within the name of a firm it is certain to be no person's. A first, light pass counts how often each term
+does; terms that are frequent and never do, as common words and labels, disclose nothing. The second pass writes down each text's findings
+of form, and each mention of another term with what stands before and behind it. From the few certain cases the disclosure of each term is
 counted (how many bits its presence adds to the belief that a person is named), from the terms that of each place (the words before, the
 words or the finding behind), and from the places that of the terms again, so that a name counts that no address spells out. A mention whose
 bits from term and place pass the threshold is a person's, together with the terms beside it that do not speak against it; it is
-generalised to a placeholder. The texts are not read again: the second step only decides over what was written down.
+generalised to a placeholder.
 
 The phrases in SEEDS ("Dear", "Name:") are a prior for places: they count as PRIOR observations beside those of the corpus, so that a
 corpus too small for counts has something to go by, and in a larger one weigh little.
@@ -32,6 +33,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 _AT, _DOT = r"(?:\s?@\s?|\s?[\[(](?:at|AT|arobase)[\])]\s?|\sAT\s)", r"(?:\.|\s?[\[(](?:dot|DOT|point)[\])]\s?|\sDOT\s)"
 _AT_SIGN, _MAIL_REST = re.compile(_AT), re.compile(rf"{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
+_AT_MARKS = ("@", "(at)", "[at]", "(AT)", "[AT]", "(arobase)", "[arobase]", " AT ")
 _WORD_AT = re.compile(r"(?<!\w)\w")
 _FIGURES = re.compile(r"\d[\d ().\-/]{4,}\d")
 _PERMIT = re.compile(r"(?<!\w)\d{2}[A-Z]{2}\d{5}(?!\w)")
@@ -84,6 +86,8 @@ PRIOR = {"before": (8.0, 7.0), "behind": (3.0, 0.5)}
 #: A term or place is judged from so many observations on; of those in fewer than SHARE of the texts, terms that disclose a person are joined, not broadcast.
 #: What speaks against a person must have been seen AGAINST times.
 SUPPORT, AGAINST, SHARE = 5, 20, 1e-4
+#: Terms in this share of the texts are common words, unless they co-occur with addresses.
+COMMON = 5e-3
 #: Bits from which a term alone counts as disclosing, or as speaking against a person.
 THRESHOLD_BITS, VETO_BITS = 2.0, -4.0
 
@@ -106,7 +110,7 @@ def _automaton() -> ahocorasick.Automaton:
     for k, streets in enumerate(_STREETS):
         for w in streets:
             words.setdefault(w, []).append(("street", k))
-    for w in ("@", "(at)", "[at]", "(AT)", "[AT]", "(arobase)", "[arobase]", " AT "):
+    for w in _AT_MARKS:
         words.setdefault(w, []).append(("mail", None))
     for w in _FIRM_MARKS:
         words.setdefault(" " + w, []).append(("firm", "mark"))
@@ -244,29 +248,78 @@ def _words_before(text: str, at: int) -> str:
     return text[i + 1 : at].lower()
 
 
-def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton) -> tuple[list[tuple[int, int, str]], list[str], list[str], list[str], list[str], list[int]]:
+def _mail_parts(addresses: list[str]) -> list[str]:
+    """The parts of the local parts of addresses, plain."""
+    return [p for x in addresses for p in re.split(r"[^a-z]+", _plain(_AT_SIGN.split(x, 1)[0])) if p]
+
+
+def _spelled(word: str, mails: list[str]) -> bool:
+    """Whether an address spells a word out. Short words count as a part of it or at the start of one only."""
+    w = re.sub(r"[^a-z]", "", _plain(word))
+    return len(w) > 2 and any(w in x if len(w) > 4 else w == x or len(w) == 4 and x.startswith(w) for x in mails)
+
+
+def silent_terms(documents: DataFrame) -> frozenset[str]:
+    """The terms that stand in a share of the texts and never co-occur with an address that spells them out, though by their number they should.
+
+    Every text is counted. What is collected are terms in max(AGAINST, COMMON x texts) texts or more: at most (terms a text) / COMMON, however large the corpus.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter[str] = Counter()
+            certain: Counter[str] = Counter()
+            for text in b["text"]:
+                if not text:
+                    continue
+                words = set(_MENTION.findall(text))
+                mails = _mail_parts([text[max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start()), text.rfind(";", 0, m.start())) + 1 : m.start()] for m in _AT_SIGN.finditer(text)]) if any(x in text for x in _AT_MARKS) else []
+                low = {w.lower() for w in words}
+                seen.update(low)
+                if mails:
+                    certain.update(w for w in low if _spelled(w, mails))
+            yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "s": [certain[w] for w in seen]}).astype({"term": "object", "n": "int64", "s": "int64"})
+
+    counts = cut(documents.select(F.col("text").cast("string")).mapInPandas(count, "term string, n bigint, s bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    total = documents.where("text <> ''").count()
+    t = counts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    if not t["n"]:
+        return frozenset()
+    base = math.log2((t["s"] + 1) / (t["n"] - t["s"] + 10))
+    share = 1 / (1 + 2.0**-base)
+    odds = F.log2((F.col("s") + 2 * share) / (F.col("n") - F.col("s") + 2 * (1 - share)))
+    silent = counts.where((F.col("n") >= max(AGAINST, COMMON * total)) & (odds - base <= VETO_BITS) & ~F.col("term").endswith("."))
+    return frozenset(r["term"] for r in silent.select("term").collect())
+
+
+def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton, silent: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, str]], list[str], list[str], list[str], list[str], list[int]]:
     """Findings of form; terms, places before and behind, places before a particle; _FIELDS numbers a mention."""
     hits = scan(text, automaton)
     spans = formal_spans(text, hits)
-    closed = sorted([*((a, b) for a, b, _ in spans), *firm_extents(text, company, hits)])
-    closed.append((len(text) + 1, len(text) + 1))
-    mails = [p for a, b, k in spans if k == "email" for p in re.split(r"[^a-z]+", _plain(_AT_SIGN.split(text[a:b], 1)[0])) if p]
+    firms = sorted(firm_extents(text, company, hits))
+    closed = sorted([*((a, b, 0) for a, b, _ in spans), *((a, b, 1) for a, b in firms)])
+    closed.append((len(text) + 1, len(text) + 1, 0))
+    mails = _mail_parts([text[a:b] for a, b, k in spans if k == "email"])
     terms, befores, behinds, outers, numbers = [], [], [], [], []
-    last, titled, shut, reach, form = -9, False, 0, 0, 0
+    last, titled, shut, form, reach = -9, False, 0, 0, [0, 0]
     nearest = spans[0][0] if spans else 1 << 60
     find, rfind = text.find, text.rfind
     for m in _MENTION.finditer(text):
         a, b = m.span()
         while closed[shut][0] < b:
-            reach = max(reach, closed[shut][1])
+            reach[closed[shut][2]] = max(reach[closed[shut][2]], closed[shut][1])
             shut += 1
-        if reach > a:
+        if reach[0] > a:
             continue
         word = m[0]
         # "M." is a title or an initial: it stays a mention, and what follows it is sure.
         if word in _TITLE_WORDS:
             titled, last = True, -9
             continue
+        term = word.lower()
+        if term in silent:
+            titled = False
+            continue
         gap = a - last
         if gap == 1 and word in _PARTICLE_WORDS and text[last] == " ":
             # A particle in capitals is a link, no term.
@@ -308,11 +361,12 @@ def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton)
             behind = text[b:e].lower() if e > 0 else text[b:].lower()
             if "\n" in behind:
                 behind = behind[: behind.index("\n") + 1]
-        if mails and not sure and len(word) > 2:
-            # Short words count as a part of the address or at the start of one only.
-            w = re.sub(r"[^a-z]", "", _plain(word))
-            sure = any(w in x if len(w) > 4 else w == x or len(w) == 4 and x.startswith(w) for x in mails) if len(w) > 2 else False
-        terms.append(word.lower())
+        if reach[1] > a:
+            # A firm's: as certain a case of no person.
+            sure = -1
+        elif mails and not sure:
+            sure = _spelled(word, mails)
+        terms.append(term)
         befores.append(before)
         behinds.append(behind)
         outers.append(outer)
@@ -322,17 +376,19 @@ def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton)
 
 
 def mentions(documents: DataFrame, *kept: str) -> DataFrame:
-    """`doc_id`, the columns of NOTED and those `kept`: what each text holds, in one pass over the texts."""
+    """`doc_id`, the columns of NOTED and those `kept`: what each text holds."""
+
+    held = documents.sparkSession.sparkContext.broadcast(silent_terms(documents))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton()
+        automaton, silent = _automaton(), held.value
         for b in batches:
             rows = []
             for text, company in zip(b["text"], b["company"]):
                 if not text:
                     rows.append((b"", "", "", "", "", "", b""))
                     continue
-                spans, *words, numbers = read_text(text.replace(_SEP, " "), company, automaton)
+                spans, *words, numbers = read_text(text.replace(_SEP, " "), company, automaton, silent)
                 rows.append((np.array([x[:2] for x in spans], np.int32).tobytes(), _SEP.join(k for _, _, k in spans), *map(_SEP.join, words), np.array(numbers, np.int32).tobytes()))
             noted = pd.DataFrame(rows, columns=["forms", "kinds", "term", "before", "behind", "outer", "at"], index=b.index)
             yield pd.concat([b[["doc_id", *kept]], noted], axis=1)
@@ -341,14 +397,18 @@ def mentions(documents: DataFrame, *kept: str) -> DataFrame:
     return have.mapInPandas(read, "doc_id bigint, " + "".join(f"{c} string, " for c in kept) + NOTED)
 
 
-# Places from the longest to the shortest: three, two and one word before, the marks alone; two words behind, one, the marks alone.
-_LEVELS = {"before": (r"(?s)(\S+\s+\S+\s+\S+\s*)$", r"(?s)(\S+\s+\S+\s*)$", r"(?s)(\S+\s*)$", r"(?s)([^\w]*)$"), "behind": (r"(?s)^(.*)$", r"(?s)^(\s*\S+\s?)", r"(?s)^([^\w]*)")}
-
-
-def place_keys(side: str, text: Column) -> Column:
-    """The places a string stands for, the longest first, each with its level; marks that are not there make none."""
-    found = F.array(*[F.concat(F.lit(f"{side}{k} "), F.regexp_extract(text, r.replace("[^\\w]", "[^\\p{L}\\p{N}_]"), 1)) for k, r in enumerate(_LEVELS[side])])
-    return F.filter(found, lambda x: F.length(x) > len(side) + 2)
+def place_keys(side: str, text: str) -> list[str]:
+    """The places a string stands for, the longest first: three, two and one word before, the marks alone; two words behind, one, the marks alone."""
+    words = text.split(" ")
+    if side == "before":
+        # The last word may stand before a blank or before the mention itself.
+        n = len(words) - (not words[-1])
+        marks = text[len(text.rstrip("\n\t .,;:()<>=|/-!?\"'’")) :]
+        keys = [" ".join(words[n - k :]) for k in (3, 2, 1) if n >= k]
+        return [f"before{3 - k} {x}" for k, x in zip(range(len(keys), 0, -1), keys)] + ([f"before3 {marks}"] if marks.strip(" ") else [])
+    one = words[0] if words[0] or len(words) == 1 else " " + words[1]
+    marks = text[: len(text) - len(text.lstrip("\n\t .,;:()<>=|/-!?\"'’"))]
+    return [f"behind0 {text}", *([f"behind1 {one}"] if one != text else []), *([f"behind2 {marks}"] if marks.strip(" ") else [])] if text else []
 
 
 class Judge:
@@ -356,8 +416,7 @@ class Judge:
 
     def __init__(self, terms: dict[str, float], places: dict[str, float], base: float):
         self.terms, self.places, self.base = terms, places, base
-        self.levels = {side: [re.compile(r) for r in rs] for side, rs in _LEVELS.items()}
-        self.memo: dict[str, dict[str, float]] = {side: {} for side in _LEVELS}
+        self.memo: dict[str, dict[str, float]] = {"before": {}, "behind": {}}
 
     def place(self, side: str, text: str) -> float:
         """Bits of the longest place that has been judged."""
@@ -365,9 +424,8 @@ class Judge:
         if (x := memo.get(text)) is not None:
             return x
         x = 0.0
-        for k, r in enumerate(self.levels[side]):
-            m = r.search(text)
-            if m and m[1] and (y := self.places.get(f"{side}{k} {m[1]}")) is not None:
+        for key in place_keys(side, text):
+            if (y := self.places.get(key)) is not None:
                 x = y
                 break
         if len(memo) > 200_000:
@@ -391,7 +449,11 @@ class Judge:
             bits = led[k] + (x if (x := then.get(behind[k])) is not None else self.place("behind", behind[k]))
             known.append(1 if told else -1 if lean <= -THRESHOLD_BITS else 0)
             # A term that speaks against a person is one's only in a place where hardly anything else stands.
-            person.append(sure[k] and known[k] >= 0 or (told and bits > -2 * THRESHOLD_BITS) or (known[k] == 0 and base + bits + lean >= 0) or (known[k] < 0 and base + led[k] >= THRESHOLD_BITS))
+            if sure[k] < 0:
+                known[k] = -1
+                person.append(False)
+                continue
+            person.append(sure[k] and known[k] >= 0 or (told and bits > -2 * THRESHOLD_BITS) or (known[k] == 0 and base + bits + lean >= 0) or (known[k] < 0 and base + led[k] >= THRESHOLD_BITS / 2))
         if not any(person):
             return []
         # What hangs together with a person's term and does not speak against it belongs to the mention.
@@ -402,13 +464,13 @@ class Judge:
                     continue
                 # A blank links to either side, a particle to what stands before a surname.
                 near = start[max(j, k)] - stop[min(j, k)] == 1
-                person[k] = (known[k] >= 0 and (near or known[k] == 1 or j < k or terms[k][-1] == ".")) or (known[k] < 0 and known[j] < 0 and near and j < k)
+                person[k] = (known[k] >= 0 and (near or known[k] == 1 or j < k or terms[k][-1] == ".")) or (known[k] < 0 and sure[k] == 0 and known[j] < 0 and near and j < k)
         out: list[list] = []
         for k in range(n):
             # "Last, First" is one mention where a name may begin, if the last name stands alone and is none that is known from elsewhere.
             line = not before[k] or before[k][-1] == "\n"
             fresh = line or (base + max(led[k], self.place("before", outer[k]) if outer[k] else led[k]) >= 0 and not before[k].rstrip().endswith(","))
-            pair = k + 1 < n and link[k + 1] == 2 and link[k] != 1 and fresh and (known[k] == 0 or known[k] == 1 and sure[k])
+            pair = k + 1 < n and link[k + 1] == 2 and link[k] != 1 and fresh and sure[k] >= 0 and (known[k] == 0 or known[k] < 0 and (person[k] or line) or sure[k] > 0)
             if pair and (known[k + 1] == 1 or person[k + 1] and (person[k] or line)) and not (out and out[-1][2] == k):
                 e = k + 1
                 while e + 1 < n and link[e + 1] == 1 and person[e + 1] and start[e + 1] - stop[e] == 1:
@@ -434,13 +496,11 @@ def _prior_places() -> dict[str, tuple[float, float]]:
     out = {}
     n, p = PRIOR["before"]
     for phrase in SEEDS["before"]:
-        words = phrase.lower().count(" ") + 1
         for end in (" ", "\n"):
-            out[f"before{3 - min(words, 3)} {' '.join(phrase.lower().split(' ')[-3:])}{end}"] = (p, n - p)
+            out[place_keys("before", " ".join(phrase.lower().split(" ")[-3:]) + end)[0]] = (p, n - p)
     n, p = PRIOR["behind"]
-    for k in range(2):
-        for word in SEEDS["behind"]:
-            out[f"behind{k} {word}"] = (p, n - p)
+    for word in SEEDS["behind"]:
+        out[f"behind0 {word}"] = (p, n - p)
     return out
 
 
@@ -458,16 +518,29 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
         for b in batches:
             seen: Counter[tuple[str, str, str]] = Counter()
             certain: Counter[tuple[str, str, str]] = Counter()
+            firm: Counter[tuple[str, str, str]] = Counter()
             for term, before, behind, at in zip(b["term"], b["before"], b["behind"], b["at"]):
                 if term:
                     here = list(zip(term.split(_SEP), before.split(_SEP), behind.split(_SEP)))
                     seen.update(here)
-                    certain.update(itertools.compress(here, np.frombuffer(at, np.int32)[3::_FIELDS].tolist()))
+                    sure = np.frombuffer(at, np.int32)[3::_FIELDS]
+                    certain.update(itertools.compress(here, (sure > 0).tolist()))
+                    firm.update(itertools.compress(here, (sure < 0).tolist()))
             t, l, r = zip(*seen) if seen else ((), (), ())
-            yield pd.DataFrame({"term": t, "before": l, "behind": r, "n": list(seen.values()), "s": [certain[k] for k in seen]}).astype({"n": "int64", "s": "int64"})
+            yield pd.DataFrame({"term": t, "before": l, "behind": r, "n": list(seen.values()), "s": [certain[k] for k in seen], "f": [firm[k] for k in seen]}).astype({"n": "int64", "s": "int64", "f": "int64"})
 
-    each = noted.select("term", "before", "behind", "at").mapInPandas(count, "term string, before string, behind string, n bigint, s bigint")
-    places = cut(each.groupBy("term", "before", "behind").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    def by_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            p: dict[str, float] = {}
+            q: dict[str, float] = {}
+            for before, behind, yes, no in zip(b["before"], b["behind"], b["p"], b["q"]):
+                for key in (*place_keys("before", before), *place_keys("behind", behind)):
+                    p[key] = p.get(key, 0.0) + yes
+                    q[key] = q.get(key, 0.0) + no
+            yield pd.DataFrame({"key": pd.Series(list(p), dtype=object), "p": pd.Series(list(p.values()), dtype=float), "q": pd.Series(list(q.values()), dtype=float)})
+
+    each = noted.select("term", "before", "behind", "at").mapInPandas(count, "term string, before string, behind string, n bigint, s bigint, f bigint")
+    places = cut(each.groupBy("term", "before", "behind").agg(*[F.sum(c).alias(c) for c in "nsf"]))
     prior = _prior_places()
     priors = spark.createDataFrame([(k, p, q) for k, (p, q) in prior.items()], "key string, p double, q double")
     judge = Judge({}, {}, -4.0)
@@ -492,9 +565,9 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
             places = cut(places.join(judged.where(F.col("odds") - base <= VETO_BITS).select("term", F.lit(True).alias("never")), "term", "left"))
         label = judged.select("term", F.when(F.col("odds") - base >= THRESHOLD_BITS, 1).when(F.col("odds") - base <= -THRESHOLD_BITS, 0).alias("label")).where("label is not null")
         # Terms without a label count by their certain cases, the others at half.
-        known = places.join(label, "term", "left").withColumn("p", F.when(F.col("label") == 1, F.col("n")).when(F.col("label") == 0, 0).otherwise(F.col("s"))).withColumn("q", F.when(F.col("label") == 1, 0).when(F.col("label") == 0, F.col("n")).otherwise((F.col("n") - F.col("s")) / 2))
-        keys = known.select("p", "q", F.explode(F.concat(place_keys("before", F.col("before")), place_keys("behind", F.col("behind")))).alias("key"))
-        counts = keys.groupBy("key").agg(F.sum("p").cast("double").alias("p"), F.sum("q").cast("double").alias("q"))
+        known = places.join(label, "term", "left").withColumn("p", F.when(F.col("label") == 1, F.col("n") - F.col("f")).when(F.col("label") == 0, 0).otherwise(F.col("s"))).withColumn("q", F.when(F.col("label") == 1, F.col("f")).when(F.col("label") == 0, F.col("n")).otherwise((F.col("n") - F.col("s") + F.col("f")) / 2))
+        keys = known.select("before", "behind", F.col("p").cast("double").alias("p"), F.col("q").cast("double").alias("q")).mapInPandas(by_place, "key string, p double, q double")
+        counts = keys.groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
         counts = counts.unionByName(priors).groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where((F.col("p") + F.col("q") >= least) | F.col("key").isin(*prior)).collect()
         whole = known.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
         middle = math.log2(((whole["p"] or 0) + 1) / ((whole["q"] or 0) + 10))
@@ -505,7 +578,7 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
             for b in batches:
                 j = held.value
                 yes = [not v and (x > 0 or j.base + j.place("before", l) + j.place("behind", r) >= 0) for v, x, l, r in zip(b["never"].notna(), b["s"], b["before"], b["behind"])]
-                yield b[["term", "n"]].assign(s=b["n"].where(pd.Series(yes, index=b.index), 0).astype("float64"))
+                yield b[["term", "n"]].assign(s=(b["n"] - b["f"]).where(pd.Series(yes, index=b.index), 0).astype("float64"))
 
         by = cut(places.mapInPandas(score, "term string, n bigint, s double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     raise AssertionError("unreachable")

@@ -399,14 +399,16 @@ def test_disclosure_is_learned_from_co_occurrence(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, company string")
     judge, rare = pii.learned(pii.mentions(docs))
     lean = lambda t: judge.terms[t] - judge.base
-    assert lean(people[0][0].lower()) >= pii.THRESHOLD_BITS and lean("budget") <= -pii.THRESHOLD_BITS and rare.count() == 0
+    assert lean(people[0][0].lower()) > 1.5 and "budget" in pii.silent_terms(docs) and rare.count() == 0
     got = {(r["doc_id"], r["start_pos"]) for r in pii.found_data(docs).where("kind = 'name'").collect()}
     assert got == {(k, len("Then the board asked ") + 1) for k, _, _ in rows}
 
 
 def test_rare_terms_are_joined(spark, monkeypatch):
-    rows = [(k, "Name: Greta Vo\nThe budget stands.", None) for k in range(8)] + [(50 + k, "Greta is at the Council", None) for k in range(8)]
+    rows = [(k, "Greta Vo wrote.\nMail: greta.vo@post.example", None) for k in range(12)] + [(50 + k, f"Word {k} of the Council", None) for k in range(60)] + [(200, "the old Greta came", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, company string")
     want = {tuple(r) for r in pii.found_data(docs).collect()}
+    assert (200, "name", 9) in want
+    # With a higher share Greta is too rare to be broadcast, and found all the same.
     monkeypatch.setattr(pii, "SHARE", 0.9)
-    assert pii.learned(pii.mentions(docs))[1].count() > 0 and {tuple(r) for r in pii.found_data(docs).collect()} >= {w for w in want if w[0] < 50}
+    assert pii.learned(pii.mentions(docs))[1].where("term = 'greta'").count() == 1 and {tuple(r) for r in pii.found_data(docs).collect()} == want
