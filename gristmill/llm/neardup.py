@@ -20,10 +20,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import BROADCAST_ROWS, broadcast_if_small, cut
 from .shingles import MinHasher, distinct, mix, runs, word_hashes
 
-#: Cells of the count sketch, as a power of two, and chunks in which it is summed.
-_SKETCH_BITS, _CHUNKS = 20, 256
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
 
@@ -33,50 +29,6 @@ def _class_of(h: np.ndarray) -> int:
     return int((np.add.reduce(mix(h ^ np.uint64(len(h))), dtype=np.uint64)).astype(np.int64))
 
 
-def stock_runs(texts: DataFrame, width: int, share: float, least: int) -> bytes:
-    """A bitmap of the sketch cells that more than `share` of all different texts, and more than `least`, fall into.
-
-    Equal texts count as one, whatever rows they stand in: each of n counts as 1 / n. A cell counts all runs that hash into it, so it can only call too much stock, never too little. What comes to
-    the driver is the sketch, whose size is fixed.
-    """
-    chunk = (1 << _SKETCH_BITS) // _CHUNKS
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(1 << _SKETCH_BITS), 0.0
-        for b in batches:
-            found = [distinct(runs(ids, width) >> np.uint64(64 - _SKETCH_BITS)) for ids in word_hashes(b["text"])]
-            weight = b["weight"].to_numpy()
-            n += sum(w for f, w in zip(found, weight) if len(f))
-            if found:
-                total += np.bincount(np.concatenate(found).astype(np.int64), np.repeat(weight, [len(f) for f in found]), minlength=len(total))
-        if n:
-            counts = total.astype(np.float32)
-            yield pd.DataFrame({"chunk": range(_CHUNKS), "n": [n] * _CHUNKS, "counts": [counts[k * chunk : (k + 1) * chunk].tobytes() for k in range(_CHUNKS)]})
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk)
-        for c in rows["counts"]:
-            total += np.frombuffer(c, np.float32)
-        return pd.DataFrame({"chunk": [key[0]], "n": [float(rows["n"].sum())], "counts": [total.astype(np.float32).tobytes()]})
-
-    kind = "chunk int, n double, counts binary"
-    hashed = texts.select("text", F.xxhash64("text").alias("hash"))
-    # Only texts that stand in more than one row are looked up.
-    copies = cut(hashed.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1"))
-    weighed = hashed.join(broadcast_if_small(copies, copies.count()), "hash", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
-    partial = weighed.mapInPandas(count, kind)
-    # Summed in two steps, so that no task sees more than some of the partial sketches, however many tasks there were.
-    some = partial.withColumn("part", F.spark_partition_id() % 64).groupBy("chunk", "part").applyInPandas(lambda k, r: add(k, r), kind)
-    rows = some.groupBy("chunk").applyInPandas(lambda k, r: add(k, r), kind).collect()
-    if not rows:
-        return np.packbits(np.zeros(1 << _SKETCH_BITS, bool)).tobytes()
-    counts = np.concatenate([np.frombuffer(r["counts"], np.float32) for r in sorted(rows, key=lambda r: r["chunk"])])
-    # Sums of 1 / n are whole numbers but for rounding.
-    counts = np.round(counts)
-    # What rare runs of other texts add to any cell is noise; half of the cells have less than the median.
-    return np.packbits(counts > max(least, share * rows[0]["n"]) + np.median(counts)).tobytes()
-
-
 def signatures(texts: DataFrame, width: int, bands: int, rows: int, cells: int, bits: int) -> DataFrame:
     """`key, class, cells, bands`. Texts without a run of `width` words share none with any text and are dropped.
 
