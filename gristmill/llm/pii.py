@@ -278,7 +278,8 @@ def silent_terms(documents: DataFrame) -> frozenset[str]:
                 seen.update(low)
                 if mails:
                     certain.update(w for w in low if _spelled(w, mails))
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "s": [certain[w] for w in seen]}).astype({"term": "object", "n": "int64", "s": "int64"})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "s": [certain[w] for w in seen]}).astype({"n": "int64", "s": "int64"})
 
     counts = cut(documents.select(F.col("text").cast("string")).mapInPandas(count, "term string, n bigint, s bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     total = documents.where("text <> ''").count()
@@ -526,7 +527,9 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
                     sure = np.frombuffer(at, np.int32)[3::_FIELDS]
                     certain.update(itertools.compress(here, (sure > 0).tolist()))
                     firm.update(itertools.compress(here, (sure < 0).tolist()))
-            t, l, r = zip(*seen) if seen else ((), (), ())
+            if not seen:
+                continue
+            t, l, r = zip(*seen)
             yield pd.DataFrame({"term": t, "before": l, "behind": r, "n": list(seen.values()), "s": [certain[k] for k in seen], "f": [firm[k] for k in seen]}).astype({"n": "int64", "s": "int64", "f": "int64"})
 
     def by_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -537,7 +540,8 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
                 for key in (*place_keys("before", before), *place_keys("behind", behind)):
                     p[key] = p.get(key, 0.0) + yes
                     q[key] = q.get(key, 0.0) + no
-            yield pd.DataFrame({"key": pd.Series(list(p), dtype=object), "p": pd.Series(list(p.values()), dtype=float), "q": pd.Series(list(q.values()), dtype=float)})
+            if p:
+                yield pd.DataFrame({"key": pd.Series(list(p), dtype=object), "p": pd.Series(list(p.values()), dtype=float), "q": pd.Series(list(q.values()), dtype=float)})
 
     each = noted.select("term", "before", "behind", "at").mapInPandas(count, "term string, before string, behind string, n bigint, s bigint, f bigint")
     places = cut(each.groupBy("term", "before", "behind").agg(*[F.sum(c).alias(c) for c in "nsf"]))

@@ -405,7 +405,7 @@ def test_disclosure_is_learned_from_co_occurrence(spark):
 
 
 def test_rare_terms_are_joined(spark, monkeypatch):
-    rows = [(k, "Greta Vo wrote.\nMail: greta.vo@post.example", None) for k in range(12)] + [(50 + k, f"Word {k} of the Council", None) for k in range(60)] + [(200, "the old Greta came", None)]
+    rows = [(k, "Greta Vo wrote.\nMail: greta.vo@post.example", None) for k in range(12)] + [(50 + k, text_of(random.Random(k), 4).title(), None) for k in range(120)] + [(200, "the old Greta came", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, company string")
     want = {tuple(r) for r in pii.found_data(docs).collect()}
     assert (200, "name", 9) in want
