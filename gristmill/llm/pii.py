@@ -229,8 +229,11 @@ def firm_extents(text: str, company: str | None, hits: dict[str, list[tuple[int,
     return out
 
 
+_ACCENTS = str.maketrans("àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
 def _plain(word: str) -> str:
-    return word.lower().translate(str.maketrans("àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))
+    return word.lower().translate(_ACCENTS)
 
 
 # What is written down of a text: its findings of form, and of each mention its term, place and (in `at`, a row of int32 a mention) start, stop, how
@@ -241,10 +244,9 @@ NOTED = "forms binary, kinds string, term string, before string, behind string,
 
 
 def _words_before(text: str, at: int) -> str:
-    """The three words before a place, in lower case."""
+    """The two words before a place, in lower case."""
     i = text.rfind(" ", 0, at - 1) if at > 1 else -1
     i = text.rfind(" ", 0, i) if i > 0 else -1
-    i = text.rfind(" ", 0, i) if i > 0 else -1
     return text[i + 1 : at].lower()
 
 
@@ -253,10 +255,14 @@ def _mail_parts(addresses: list[str]) -> list[str]:
     return [p for x in addresses for p in re.split(r"[^a-z]+", _plain(_AT_SIGN.split(x, 1)[0])) if p]
 
 
-def _spelled(word: str, mails: list[str]) -> bool:
+def _spelled(word: str, mails: list[str], joined: str) -> bool:
     """Whether an address spells a word out. Short words count as a part of it or at the start of one only."""
-    w = re.sub(r"[^a-z]", "", _plain(word))
-    return len(w) > 2 and any(w in x if len(w) > 4 else w == x or len(w) == 4 and x.startswith(w) for x in mails)
+    w = word.lower()
+    if not (w.isascii() and w.isalpha()):
+        w = re.sub(r"[^a-z]", "", _plain(w))
+    if len(w) < 3 or w not in joined:
+        return False
+    return len(w) > 4 or any(w == x or len(w) == 4 and x.startswith(w) for x in mails)
 
 
 def silent_terms(documents: DataFrame) -> frozenset[str]:
@@ -277,7 +283,8 @@ def silent_terms(documents: DataFrame) -> frozenset[str]:
                 low = {w.lower() for w in words}
                 seen.update(low)
                 if mails:
-                    certain.update(w for w in low if _spelled(w, mails))
+                    joined = " ".join(mails)
+                    certain.update(w for w in low if _spelled(w, mails, joined))
             if seen:
                 yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "s": [certain[w] for w in seen]}).astype({"n": "int64", "s": "int64"})
 
@@ -301,6 +308,7 @@ def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton,
     closed = sorted([*((a, b, 0) for a, b, _ in spans), *((a, b, 1) for a, b in firms)])
     closed.append((len(text) + 1, len(text) + 1, 0))
     mails = _mail_parts([text[a:b] for a, b, k in spans if k == "email"])
+    joined = " ".join(mails)
     terms, befores, behinds, outers, numbers = [], [], [], [], []
     last, titled, shut, form, reach = -9, False, 0, 0, [0, 0]
     nearest = spans[0][0] if spans else 1 << 60
@@ -346,7 +354,6 @@ def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton,
                 outer, lead = _words_before(text, j), j
             titled = False
         if start == a:
-            i = rfind(" ", 0, i) if i > 0 else -1
             i = rfind(" ", 0, i) if i > 0 else -1
             before = text[i + 1 : a].lower()
         else:
@@ -366,7 +373,7 @@ def read_text(text: str, company: str | None, automaton: ahocorasick.Automaton,
             # A firm's: as certain a case of no person.
             sure = -1
         elif mails and not sure:
-            sure = _spelled(word, mails)
+            sure = _spelled(word, mails, joined)
         terms.append(term)
         befores.append(before)
         behinds.append(behind)
@@ -399,14 +406,14 @@ def mentions(documents: DataFrame, *kept: str) -> DataFrame:
 
 
 def place_keys(side: str, text: str) -> list[str]:
-    """The places a string stands for, the longest first: three, two and one word before, the marks alone; two words behind, one, the marks alone."""
+    """The places a string stands for, the longest first: two words before, one, the marks alone; two words behind, one, the marks alone."""
     words = text.split(" ")
     if side == "before":
         # The last word may stand before a blank or before the mention itself.
         n = len(words) - (not words[-1])
         marks = text[len(text.rstrip("\n\t .,;:()<>=|/-!?\"'’")) :]
-        keys = [" ".join(words[n - k :]) for k in (3, 2, 1) if n >= k]
-        return [f"before{3 - k} {x}" for k, x in zip(range(len(keys), 0, -1), keys)] + ([f"before3 {marks}"] if marks.strip(" ") else [])
+        keys = [f"before{2 - k} {' '.join(words[n - k :])}" for k in (2, 1) if n >= k]
+        return keys + ([f"before2 {marks}"] if marks.strip(" ") else [])
     one = words[0] if words[0] or len(words) == 1 else " " + words[1]
     marks = text[: len(text) - len(text.lstrip("\n\t .,;:()<>=|/-!?\"'’"))]
     return [f"behind0 {text}", *([f"behind1 {one}"] if one != text else []), *([f"behind2 {marks}"] if marks.strip(" ") else [])] if text else []
@@ -498,7 +505,7 @@ def _prior_places() -> dict[str, tuple[float, float]]:
     n, p = PRIOR["before"]
     for phrase in SEEDS["before"]:
         for end in (" ", "\n"):
-            out[place_keys("before", " ".join(phrase.lower().split(" ")[-3:]) + end)[0]] = (p, n - p)
+            out[place_keys("before", " ".join(phrase.lower().split(" ")[-2:]) + end)[0]] = (p, n - p)
     n, p = PRIOR["behind"]
     for word in SEEDS["behind"]:
         out[f"behind0 {word}"] = (p, n - p)
@@ -532,17 +539,6 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
             t, l, r = zip(*seen)
             yield pd.DataFrame({"term": t, "before": l, "behind": r, "n": list(seen.values()), "s": [certain[k] for k in seen], "f": [firm[k] for k in seen]}).astype({"n": "int64", "s": "int64", "f": "int64"})
 
-    def by_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p: dict[str, float] = {}
-            q: dict[str, float] = {}
-            for before, behind, yes, no in zip(b["before"], b["behind"], b["p"], b["q"]):
-                for key in (*place_keys("before", before), *place_keys("behind", behind)):
-                    p[key] = p.get(key, 0.0) + yes
-                    q[key] = q.get(key, 0.0) + no
-            if p:
-                yield pd.DataFrame({"key": pd.Series(list(p), dtype=object), "p": pd.Series(list(p.values()), dtype=float), "q": pd.Series(list(q.values()), dtype=float)})
-
     each = noted.select("term", "before", "behind", "at").mapInPandas(count, "term string, before string, behind string, n bigint, s bigint, f bigint")
     places = cut(each.groupBy("term", "before", "behind").agg(*[F.sum(c).alias(c) for c in "nsf"]))
     prior = _prior_places()
@@ -554,34 +550,49 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
         return F.log2((F.col("s") + 2 * share) / (F.col("n") - F.col("s") + 2 * (1 - share)))
 
     by = cut(places.groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("s")))
+    never: frozenset[str] = frozenset()
     for k in range(rounds + 1):
         t = by.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
         if not t["n"]:
             return judge, by.select("term")
         base = math.log2((t["s"] + 1) / (t["n"] - t["s"] + 10))
         judged = by.where((F.col("n") >= SUPPORT) & ~F.col("term").endswith(".")).withColumn("odds", odds(base)).where((F.col("n") >= AGAINST) | (F.col("odds") >= base))
+        common = {r["term"]: r["odds"] for r in judged.where(F.col("n") >= least).select("term", "odds").collect()}
         if k == rounds:
-            common = judged.where(F.col("n") >= least).select("term", "odds").collect()
-            rare = judged.where((F.col("n") < least) & (F.col("odds") - base >= THRESHOLD_BITS)).select("term")
-            return Judge({r["term"]: r["odds"] for r in common}, judge.places, base), rare
+            return Judge(common, judge.places, base), judged.where((F.col("n") < least) & (F.col("odds") - base >= THRESHOLD_BITS)).select("term")
         if k == 0:
             # A term that is often there and never a certain case, as labels are, speaks against a person whatever place it stands in.
-            places = cut(places.join(judged.where(F.col("odds") - base <= VETO_BITS).select("term", F.lit(True).alias("never")), "term", "left"))
-        label = judged.select("term", F.when(F.col("odds") - base >= THRESHOLD_BITS, 1).when(F.col("odds") - base <= -THRESHOLD_BITS, 0).alias("label")).where("label is not null")
-        # Terms without a label count by their certain cases, the others at half.
-        known = places.join(label, "term", "left").withColumn("p", F.when(F.col("label") == 1, F.col("n") - F.col("f")).when(F.col("label") == 0, 0).otherwise(F.col("s"))).withColumn("q", F.when(F.col("label") == 1, F.col("f")).when(F.col("label") == 0, F.col("n")).otherwise((F.col("n") - F.col("s") + F.col("f")) / 2))
-        keys = known.select("before", "behind", F.col("p").cast("double").alias("p"), F.col("q").cast("double").alias("q")).mapInPandas(by_place, "key string, p double, q double")
-        counts = keys.groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-        counts = counts.unionByName(priors).groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where((F.col("p") + F.col("q") >= least) | F.col("key").isin(*prior)).collect()
-        whole = known.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
-        middle = math.log2(((whole["p"] or 0) + 1) / ((whole["q"] or 0) + 10))
-        judge = Judge({}, {r["key"]: _odds(r["p"], r["q"], middle) - middle for r in counts}, middle)
-        held = spark.sparkContext.broadcast(judge)
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            never = frozenset(w for w, o in common.items() if o - base <= VETO_BITS)
+        labels = spark.sparkContext.broadcast({w: int(o >= base) for w, o in common.items() if abs(o - base) >= THRESHOLD_BITS})
+
+        def by_place(batches: Iterator[pd.DataFrame], labels=labels) -> Iterator[pd.DataFrame]:
+            """Persons and others of each place. Terms without a label count by their certain cases, the others at half."""
+            for b in batches:
+                p: dict[str, float] = {}
+                q: dict[str, float] = {}
+                told = labels.value
+                for term, before, behind, n, s, f in zip(*[b[c].tolist() for c in ("term", "before", "behind", "n", "s", "f")]):
+                    label = told.get(term)
+                    yes, no = (s, (n - s + f) / 2) if label is None else (n - f, f) if label else (0, n)
+                    for key in (*place_keys("before", before), *place_keys("behind", behind)):
+                        p[key] = p.get(key, 0.0) + yes
+                        q[key] = q.get(key, 0.0) + no
+                    p[""] = p.get("", 0.0) + yes
+                    q[""] = q.get("", 0.0) + no
+                if p:
+                    yield pd.DataFrame({"key": pd.Series(list(p), dtype=object), "p": pd.Series(list(p.values()), dtype=float), "q": pd.Series(list(q.values()), dtype=float)})
+
+        counts = places.mapInPandas(by_place, "key string, p double, q double").unionByName(priors).groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        kept = {r["key"]: (r["p"], r["q"]) for r in counts.where((F.col("p") + F.col("q") >= least) | F.col("key").isin("", *prior)).collect()}
+        p, q = kept.pop("", (0.0, 0.0))
+        middle = math.log2((p + 1) / (q + 10))
+        judge = Judge({}, {key: _odds(p, q, middle) - middle for key, (p, q) in kept.items()}, middle)
+        held = spark.sparkContext.broadcast((judge, never))
+
+        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            j, never = held.value
             for b in batches:
-                j = held.value
-                yes = [not v and (x > 0 or j.base + j.place("before", l) + j.place("behind", r) >= 0) for v, x, l, r in zip(b["never"].notna(), b["s"], b["before"], b["behind"])]
+                yes = [t not in never and (x > 0 or j.base + j.place("before", l) + j.place("behind", r) >= 0) for t, x, l, r in zip(*[b[c].tolist() for c in ("term", "s", "before", "behind")])]
                 yield b[["term", "n"]].assign(s=(b["n"] - b["f"]).where(pd.Series(yes, index=b.index), 0).astype("float64"))
 
         by = cut(places.mapInPandas(score, "term string, n bigint, s double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
