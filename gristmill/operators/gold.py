@@ -86,3 +86,9 @@ def price_change(prices: DataFrame) -> DataFrame:
     """Of `prices(symbol, day, close)`: first and last by day, highest and lowest, and the change in percent to one place."""
     by = prices.where("close is not null").groupBy("symbol").agg(F.min_by("close", "day").alias("first"), F.max_by("close", "day").alias("last"), F.max("close").alias("high"), F.min("close").alias("low"))
     return by.withColumn("change", F.round((F.col("last") / F.nullif(F.col("first"), F.lit(0.0)) - 1) * 100, 1))
+
+
+def summary(jobs: DataFrame) -> DataFrame:
+    """`kind, value, jobs`: listings by tier and by sector, no sector as unknown, no tier as '?'."""
+    by = lambda kind, c, none: jobs.groupBy(F.lit(kind).alias("kind"), F.coalesce(F.col(c), F.lit(none)).alias("value")).agg(F.count("*").alias("jobs"))
+    return by("tier", "recommendation_tier", "?").unionByName(by("sector", "end_client_sector", "unknown"))

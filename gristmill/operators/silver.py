@@ -1,12 +1,12 @@
 """Warehouse state: upserts with run lineage, dimension upkeep, enrichment gates. Every operator is DataFrame to DataFrame.
 
 An upsert is one full outer join on the key with a policy a column. Both sides are hash-partitioned by the key once; a source batch is
-reduced to its first row a key before the join, by an aggregate that combines map-side.
+reduced to its first row a key before the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.parse import iso_guarded
 from ..functions.text import company_key, company_name_key
@@ -14,6 +14,17 @@ from ..schema import COMPANY
 
 KEY = ("id", "source_board")
 ENRICHMENT_VERSION = 2
+# The boards with their names, main languages and addresses.
+BOARD_ROWS = {
+    "freework": ("Free-Work", "fr", "https://www.free-work.com"),
+    "hiringcafe": ("HiringCafe", "en", "https://www.hiringcafe.com"),
+    "hellowork": ("HelloWork", "fr", "https://www.hellowork.com"),
+    "englishjobs": ("EnglishJobs", "en", "https://www.englishjobs.com"),
+    "faruse": ("Faruse", "en", "https://www.faruse.com"),
+    "wwr": ("We Work Remotely", "en", "https://weworkremotely.com"),
+    "remoteok": ("RemoteOK", "en", "https://remoteok.com"),
+    "datasciencejobs": ("DataScienceJobs", "en", "https://datasciencejobs.com"),
+}
 GATES = {
     "translate": "is_active AND description_language = 'fr' AND TRIM(description_text) <> ''",
     "tech": "is_active AND technologies IS NULL",
@@ -35,15 +46,22 @@ def first_by(df: DataFrame, keys: tuple[str, ...] | list[str], order: list[Colum
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
+def first_row(df: DataFrame, keys: tuple[str, ...] | list[str], order: list[Column] | None = None) -> DataFrame:
+    """The first row of each key by the columns of `order`, ascending, then by the hash of the whole row; an aggregate, so that repetitions go map-side."""
+    by = F.struct(*(order or []), F.xxhash64(*df.columns))
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), by).alias("_row"))
+    return best.select(*keys, "_row.*").select(*df.columns)
+
+
 def upsert(old: DataFrame, new: DataFrame, run_id: str, now: str, full_replace: bool = False, order: list[Column] | None = None) -> DataFrame:
     """State after a run. A new key comes in whole, first and last seen now; a known one keeps its content and is seen again.
 
     With `full_replace` a known key takes the new content but for its key, first sighting and creation, and waits for enrichment again.
-    Repeated keys in the batch count once, the first by `order` (all columns as JSON text by default).
+    Repeated keys in the batch count once, the first by `order`, which is that of arrival if given; ties go by a hash of the row.
     """
     state = [c for c in old.columns if c not in KEY]
     content = [c for c in state if c in new.columns and c not in ("first_seen_run", "first_seen_at", "last_seen_run", "last_seen_at", "is_active", "enriched_at", "enrichment_version", "created_at", "updated_at")]
-    batch = first_by(new, KEY, order or [F.to_json(F.struct(*new.columns))]).select(*KEY, *[F.col(c).alias(f"n_{c}") for c in content], F.lit(True).alias("_new"))
+    batch = first_row(new, KEY, order).select(*KEY, *[F.col(c).alias(f"n_{c}") for c in content], F.lit(True).alias("_new"))
     have = old.withColumn("_old", F.lit(True))
     both = have.join(batch, list(KEY), "full")
     fresh, again, at = F.col("_old").isNull(), F.col("_new").isNotNull(), F.lit(now).cast("timestamp")
@@ -63,7 +81,7 @@ def upsert(old: DataFrame, new: DataFrame, run_id: str, now: str, full_replace:
 def upsert_companies(old: DataFrame, new: DataFrame) -> DataFrame:
     """Dimension after a run: new values fill and replace, NULLs never do; board, enrichment time and version of a known row stay."""
     fields = [c for c in COMPANY if c != "company_id"]
-    batch = first_by(new, ["company_id"], [F.to_json(F.struct(*[c for c in fields if c in new.columns]))])
+    batch = first_row(new, ["company_id"])
     batch = batch.select("company_id", *[(F.col(c) if c in new.columns else F.lit(None).cast(COMPANY[c])).alias(f"n_{c}") for c in fields], F.lit(True).alias("_new"))
     both = old.withColumn("_old", F.lit(True)).join(batch, "company_id", "full")
     fresh = F.col("_old").isNull()
@@ -80,7 +98,7 @@ def company_rows(jobs: DataFrame) -> DataFrame:
         company_key(name, F.col("source_board")).alias("company_id"), company_name_key(name).alias("name"), F.trim(name).alias("display_name"), "source_board",
         *[ci(c).alias(c) for c in COMPANY if c not in ("company_id", "name", "display_name", "source_board", "enriched_at", "enrichment_version")],
     )
-    return first_by(rows, ["company_id"], [F.to_json(F.struct(*rows.columns))])
+    return first_row(rows, ["company_id"])
 
 
 def merge_companies(jobs: DataFrame, floor: str = "1970-01-01 00:00:00") -> DataFrame:
@@ -144,3 +162,34 @@ def write_back(df: DataFrame, results: DataFrame, columns: list[str], key: tuple
     got = results.select(*key, *[F.col(c).alias(f"r_{c}") for c in columns], F.lit(True).alias("_got"))
     both = df.join(got, list(key), "left")
     return both.select(*[F.when(F.col("_got"), F.col(f"r_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def ensure_columns(df: DataFrame, batch: DataFrame, skip: tuple[str, ...] = ("company_info", "_enrichment", "_source")) -> DataFrame:
+    """State with a NULL column for each field of a batch that it lacks; columns it has keep their types."""
+    kinds = dict(batch.dtypes)
+    return df.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in batch.columns if c not in df.columns and c not in skip])
+
+
+def dim_board(spark: SparkSession) -> DataFrame:
+    """The eight boards."""
+    return spark.createDataFrame([(k, *v) for k, v in BOARD_ROWS.items()], "board_id string, display_name string, main_language string, base_url string")
+
+
+def migrate_company_info(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listings with company_id and without company_info, the firms merged from it): for a state that still holds the firm in each listing.
+
+    A listing without any name keeps the company_id it has, or gets NULL. Of each field the newest value that is not NULL counts, the name as the
+    newest listing writes it.
+    """
+    if "company_info" not in jobs.columns:
+        return jobs, jobs.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in COMPANY.items()])
+    name = F.coalesce(F.nullif(F.col("company_info.name"), F.lit("")), F.nullif(F.col("company"), F.lit("")))
+    old = F.col("company_id") if "company_id" in jobs.columns else F.lit(None).cast("string")
+    keyed = jobs.withColumn("_name", name).withColumn("company_id", F.when(F.col("_name").isNotNull(), company_key(F.col("_name"), F.col("source_board"))).otherwise(old))
+    named = keyed.where("_name is not null")
+    at = F.coalesce("last_seen_at", F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    newest = named.groupBy("company_id").agg(F.max_by("_name", F.struct(at, F.xxhash64("id", "source_board"))).alias("_last"), F.first("source_board").alias("source_board"))
+    merged = merge_companies(named).join(newest, "company_id")
+    shown = {"name": company_name_key(F.col("_last")), "display_name": F.trim("_last")}
+    firms = merged.select(*[shown.get(c, F.col(c) if c in merged.columns else F.lit(None)).cast(t).alias(c) for c, t in COMPANY.items()])
+    return keyed.drop("_name", "company_info"), firms

@@ -11,10 +11,15 @@ from ..functions.text import impact, relevance, significant_words, skill_tokens
 
 # Short names of skills, and what a claimed figure looks like.
 SKILL_NAMES = {"k8s": "kubernetes", "gh": "github", "ci": "ci/cd", "cd": "ci/cd"}
-CLAIM = (
-    r"(?i)\bby\s+\d[\d,]*%|\bby\s+\$\d[\d,]*|\bby\s+\d[\d,]*x\b|\$\d[\d,]*[KMB]?\b|\d[\d,]*%\s*(?:of|reduction|improvement|increase|decrease|savings|cut|faster|less)"
-    r"|\d[\d,]*x\s*(?:faster|improvement|reduction)|\bby\s+\d[\d,]*\s*(?:hours|days|weeks|months|minutes|seconds)|reduc(?:ed|ing)\s+\w+\s+by\s+\d+|cut\s+\w+\s+by\s+\d+|sav(?:ed|ing)\s+\$\d+|\bfrom\s+\d[\d,]*\s+to\s+\d[\d,]*\b"
-)
+CLAIMS = (
+    r"\bby\s+\d[\d,]*%", r"\bby\s+\$\d[\d,]*", r"\bby\s+\d[\d,]*x\b",
+    r"\$\d[\d,]*[KMB]?\b",
+    r"\d[\d,]*%\s*(?:of|reduction|improvement|increase|decrease|savings|cut|faster|less)",
+    r"\d[\d,]*x\s*(?:faster|improvement|reduction)",
+    r"\bby\s+\d[\d,]*\s*(?:hours|days|weeks|months|minutes|seconds)",
+    r"reduc(?:ed|ing)\s+\w+\s+by\s+\d+", r"cut\s+\w+\s+by\s+\d+",
+    r"sav(?:ed|ing)\s+\$\d+", r"\bfrom\s+\d[\d,]*\s+to\s+\d[\d,]*\b",
+)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -64,7 +69,7 @@ def reworded(skill_words: pd.Series, advert_words: pd.Series) -> pd.Series:
 
 def claimed_figures(text: Column, master: Column) -> Column:
     """Figures of claims that the master text does not hold."""
-    claims = F.regexp_extract_all(text, F.lit(f"({CLAIM})"), 1)
+    claims = F.regexp_extract_all(text, F.lit(f"(?i)({'|'.join(CLAIMS)})"), 1)
     figures = F.array_distinct(F.flatten(F.transform(claims, lambda c: F.regexp_extract_all(c, F.lit(r"(\d[\d,]*)"), 1))))
     return F.filter(figures, lambda n: ~F.coalesce(master.contains(n), F.lit(False)))
 
@@ -95,3 +100,26 @@ def employer_drift(master: DataFrame, tailored: DataFrame) -> DataFrame:
     """`pos, expected, found` of the positions at which the employers differ."""
     a, b = master.select("pos", F.col("company").alias("expected")), tailored.select("pos", F.col("company").alias("found"))
     return a.join(b, "pos", "full").where(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def count_drift(master: DataFrame, tailored: DataFrame) -> DataFrame:
+    """`expected, found`: one row if the numbers of employers differ, else none."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(master, "expected").crossJoin(n(tailored, "found")).where("expected != found")
+
+
+def audit(master: DataFrame, tailored: DataFrame, texts: DataFrame, merged: bool = False) -> DataFrame:
+    """`verdict, what`: everything the tailored text claims that the master does not: skills, employers, their number, and figures.
+
+    `master(pos, company)`, `tailored(pos, company)`, and one row of `texts(key, tailored, master_skills, master_text, advert, content)`. Verdicts: `hard` is
+    made up, `advert` is a skill taken from the advert. With `merged` roles may be missing, but every employer must be the master's.
+    """
+    skills = audit_skills(texts).where("verdict != 'known'").select("verdict", F.col("skill").alias("what"))
+    figures = texts.select(F.explode(claimed_figures(F.col("content"), F.col("master_text"))).alias("n")).select(F.lit("hard").alias("verdict"), F.concat(F.lit("figure "), "n").alias("what"))
+    if merged:
+        known = master.select(F.lower("company").alias("k")).distinct()
+        drift = tailored.join(known, F.lower("company") == known.k, "left_anti").select(F.concat(F.lit("employer "), F.coalesce("company", F.lit(""))).alias("what"))
+    else:
+        drift = employer_drift(master, tailored).where("expected is not null and found is not null").select(F.concat(F.lit("employer "), "expected", F.lit(" -> "), "found").alias("what"))
+        drift = drift.unionByName(count_drift(master, tailored).select(F.concat(F.lit("roles "), "expected", F.lit(" -> "), "found").alias("what")))
+    return skills.unionByName(figures).unionByName(drift.select(F.lit("hard").alias("verdict"), "what"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.score import scored
 from .functions.text import company_key
 from .operators import gold, silver
+from .operators.enrich import Client, research_companies, stage
 from .schema import CANONICAL, COMPANY, LINEAGE, conform
 from .sources.files import Store, nested_export, ranked_export, read_run, with_company
 
@@ -30,6 +32,8 @@ def ensure(spark: SparkSession, store: Store) -> None:
     for name, fields in (("jobs", STATE), ("companies", COMPANY), ("dates", {"date_id": "string", "iso_week": "int", "month": "int", "quarter": "int", "year": "int"})):
         if not store.version(name):
             store.write(name, conform(spark.createDataFrame([], "_ int"), fields, keep_extra=False))
+    if not store.version("boards"):
+        store.write("boards", silver.dim_board(spark))
 
 
 def to_silver(spark: SparkSession, store: Store, cfg: Config, batch: DataFrame | None = None, full_replace: bool = False) -> DataFrame:
@@ -40,8 +44,8 @@ def to_silver(spark: SparkSession, store: Store, cfg: Config, batch: DataFrame |
     store.write("companies", silver.upsert_companies(store.read("companies"), silver.company_rows(batch)))
     firm = F.coalesce(F.nullif(F.trim("company_info.name"), F.lit("")), F.col("company"))
     rows = batch.withColumn("company_id", company_key(firm, F.col("source_board"))).drop("company_info")
-    # The first row of a key counts: files in the order of the manifest, ties by content.
-    order = [*([F.col("ordinal")] if "ordinal" in rows.columns else []), F.to_json(F.struct(*rows.columns))]
+    # The first row of a key counts: files in the order of the manifest.
+    order = [F.col("ordinal")] if "ordinal" in rows.columns else None
     state = silver.upsert(store.read("jobs"), rows, cfg.run_id, cfg.now, full_replace, order)
     store.write("jobs", silver.deactivate(state, cfg.run_id))
     store.write("dates", silver.dim_date(store.read("jobs"), store.read("dates")))
@@ -57,6 +61,17 @@ def score(store: Store, cfg: Config) -> DataFrame:
     return store.read("jobs")
 
 
+def enrich(store: Store, cfg: Config, clients: dict[str, Callable[[], Client]]) -> DataFrame:
+    """The stages for which there is a client, in order, each written back; then what is complete is marked."""
+    for name in ("translate", "tech", "classify"):
+        if name in clients:
+            store.write("jobs", stage(silver.reset_stale(store.read("jobs"), name), name, clients[name]))
+    if "company" in clients:
+        store.write("companies", research_companies(silver.reset_stale(store.read("companies"), "company"), clients["company"]))
+    store.write("jobs", silver.mark_enriched(store.read("jobs"), cfg.now))
+    return store.read("jobs")
+
+
 def views(store: Store) -> dict[str, DataFrame]:
     """The gold views, registered for SQL under gold_<name>."""
     jobs, companies = store.read("jobs"), store.read("companies")
@@ -71,9 +86,9 @@ def views(store: Store) -> dict[str, DataFrame]:
 
 
 def export(store: Store, path: str) -> None:
-    """The ranked flat file and the nested one; the nested one as JSON lines, a file a partition."""
+    """The ranked flat export and the nested one, as folders of parts in order: a file a partition, none gathered."""
     jobs, companies = store.read("jobs"), store.read("companies")
-    ranked_export(jobs, companies).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/jobs_ranked")
+    ranked_export(jobs, companies).write.mode("overwrite").option("header", True).csv(f"{path}/jobs_ranked")
     nested_export(jobs, companies).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/jobs_merged")
 
 

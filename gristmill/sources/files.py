@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..schema import CANONICAL, conform, struct_type
+from ..functions.text import list_cell, number_cell, whole_cell
+from ..schema import CANONICAL, company_info, conform, salary, struct_type
 
 
 def write_snapshot(df: DataFrame, root: str, board: str, run_id: str, stamp: str) -> str:
@@ -40,11 +41,51 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").load(path)
 
 
-def adopt_ids(csv: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of a flat export with the id of the known listing of the same address, else one made of the address. The last of equal addresses counts."""
-    key = lambda c: F.rtrim(F.col(c), F.lit("/"))
-    last = known.groupBy(key("apply_url").alias("u")).agg(F.max("id").alias("known_id"))
-    return csv.withColumn("u", key("apply_url")).join(last, "u", "left").withColumn("id", F.coalesce("known_id", F.concat(F.lit("csv:"), F.substring(F.sha1("u"), 1, 16)))).drop("u", "known_id")
+def adopt_ids(csv: DataFrame, known: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows of a flat export with the id of the known listing of the same address, else the address itself; rows without either are dropped.
+
+    Of known listings with equal addresses the last by `order` counts, or the greatest id.
+    """
+    key = lambda c: F.rtrim(F.coalesce(F.col(c), F.lit("")), F.lit("/"))
+    last = known.groupBy(key("apply_url").alias("u")).agg((F.max("id") if order is None else F.max_by("id", order)).alias("known_id"))
+    return csv.withColumn("u", key("apply_url")).join(last, "u", "left").withColumn("id", F.coalesce("known_id", F.nullif("u", F.lit("")))).where("id is not null").drop("u", "known_id")
+
+
+def from_flat(csv: DataFrame, known: DataFrame, order: str | None = None) -> DataFrame:
+    """Canonical listings of an earlier ranked export (all columns text): ids adopted, lists split, empty cells NULL."""
+    col = lambda n: F.nullif(F.col(n), F.lit(""))
+    low, high = number_cell(F.col("salary_min_annual_eur")), number_cell(F.col("salary_max_annual_eur"))
+    url = F.nullif(F.rtrim("apply_url", F.lit("/")), F.lit(""))
+    told = F.coalesce(low != 0, F.lit(False)) | F.coalesce(high != 0, F.lit(False))
+    info = company_info(
+        F.coalesce("company", F.lit("")), industry=list_cell(F.col("company_industry")), size_employees=whole_cell(F.col("company_size")), year_founded=whole_cell(F.col("company_founded")),
+        org_type=F.coalesce(col("company_type"), F.lit("unknown")), stock_symbol=col("company_stock_symbol"),
+    )
+    cols = {
+        "id": F.col("id"), "source_board": F.coalesce(col("source_board"), F.lit("freework")), "source_url": url, "apply_url": url, "salary": salary(low, high, disclosed=told), "company_info": info,
+        "contract_types": list_cell(F.col("contract_types")), "technologies": list_cell(F.col("technologies")), "competencies": list_cell(F.col("competencies")), "years_experience_min": whole_cell(F.col("years_experience_min")),
+        "description_text": F.lit(""), "scores": F.struct(*[number_cell(F.col(f"scores_{k}")).alias(k) for k in ("pay", "flexibility", "low_responsibility", "tech_match", "company_quality")]), "overall_score": number_cell(F.col("overall_score")),
+        **{c: F.coalesce(c, F.lit("")) for c in ("title", "company", "location_raw")},
+        **{c: col(c) for c in ("workplace_type", "date_posted", "seniority_level", "role_category", "engagement_type", "posting_company_type", "end_client_name", "end_client_sector", "contract_duration", "recommendation_tier")},
+    }
+    rows = adopt_ids(csv, known, order)
+    return rows.select(*[cols.get(c, F.lit(None)).cast(t).alias(c) for c, t in CANONICAL.items()])
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """`path, text`: files as whole texts."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def fetch(jobs: DataFrame, columns: list[str], where: str, order: list[Column] | None = None, companies: DataFrame | None = None) -> DataFrame:
+    """Columns of the listings that a condition selects, in an order if one is given; with `companies`, the firm's row as `company_info`, NULL where there is none."""
+    rows = jobs.where(F.expr(where))
+    if companies is not None:
+        fields = ("industry", "size_employees", "year_founded", "hq_country", "org_type", "stock_symbol", "stock_exchange", "latest_funding_type", "latest_funding_amount_usd", "homepage_url")
+        dim = companies.select("company_id", F.struct(F.col("display_name").alias("name"), *fields).alias("company_info"))
+        rows = rows.drop("company_info").join(dim, "company_id", "left")
+    rows = rows.orderBy(*order) if order else rows
+    return rows.select(*columns, *(["company_info"] if companies is not None else []))
 
 
 class Store:
@@ -105,6 +146,40 @@ def nested_export(jobs: DataFrame, companies: DataFrame) -> DataFrame:
     return with_company(jobs.where("is_active").drop("company_info"), companies).withColumn("company_info", F.struct(*[pick.get(f, F.col(f"dim.{f}")).alias(f) for f in fields])).drop("dim").orderBy("id", "source_board")
 
 
+def freework_export(jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """The nested export of one board's active listings, by id."""
+    return nested_export(jobs.where("source_board = 'freework'"), companies).orderBy("id")
+
+
+# The columns of a board's flat export, and of the older flat export.
+BOARD_COLUMNS = {
+    "id": "id", "source_board": "source_board", "title": "title", "company": "company", "apply_url": "apply_url", "location_raw": "location_raw", "workplace_type": "workplace_type", "date_posted": "date_posted",
+    "salary_min_annual_eur": "salary.min_annual_eur", "salary_max_annual_eur": "salary.max_annual_eur", "salary_currency_original": "salary.currency_original", "salary_is_disclosed": "salary.is_disclosed",
+    "contract_types": "contract_types", "contract_duration": "contract_duration", "seniority_level": "seniority_level", "role_category": "role_category", "years_experience_min": "years_experience_min",
+    "technologies": "technologies", "competencies": "competencies", "description_language": "description_language", "company_industry": "company_info.industry", "company_size": "company_info.size_employees",
+    "company_founded": "company_info.year_founded", "company_hq_country": "company_info.hq_country", "company_type": "company_info.org_type", "company_stock_symbol": "company_info.stock_symbol",
+    "company_funding_type": "company_info.latest_funding_type", "company_funding_amount_usd": "company_info.latest_funding_amount_usd", "engagement_type": "engagement_type", "posting_company_type": "posting_company_type",
+    "end_client_name": "end_client_name", "end_client_sector": "end_client_sector", "views": "views", "applications": "applications", "is_expired": "is_expired", "overall_score": "overall_score", "recommendation_tier": "recommendation_tier",
+    "scores_pay": "scores.pay", "scores_flexibility": "scores.flexibility", "scores_low_responsibility": "scores.low_responsibility", "scores_tech_match": "scores.tech_match", "scores_company_quality": "scores.company_quality",
+}
+LEGACY_COLUMNS = (
+    "overall_score", "recommendation_tier", "scores_pay", "scores_flexibility", "scores_low_responsibility", "scores_tech_match", "scores_company_quality", "title", "company", "end_client_sector", "end_client_name",
+    "engagement_type", "seniority_level", "role_category", "contract_types", "pay", "rate", "remote_type", "location", "duration", "url",
+)
+
+
+def board_export(jobs: DataFrame) -> DataFrame:
+    """Listings of a board, flat."""
+    return flatten(jobs, BOARD_COLUMNS)
+
+
+def legacy_export(scored: DataFrame) -> DataFrame:
+    """The older flat export of scored raw records; columns they lack are NULL, lists joined by ' | '."""
+    have = scored.columns
+    of = lambda c: c.replace("scores_", "scores.") if c.startswith("scores_") else c
+    return flatten(scored.select("*", *[F.lit(None).cast("string").alias(c) for c in LEGACY_COLUMNS if of(c).split(".")[0] not in have]), {c: of(c) for c in LEGACY_COLUMNS}, " | ")
+
+
 def write_json_array(df: DataFrame, path: str) -> None:
     """A JSON array file, NULL fields kept: for bounded exports, streamed partition by partition through the driver."""
     rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()

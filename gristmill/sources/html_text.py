@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -47,73 +47,32 @@ def jsonld_bodies(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
 
 
-@F.pandas_udf(T.StringType())
-def job_posting_text(html: pd.Series) -> pd.Series:
-    """Description of the first JobPosting among a page's JSON-LD objects or lists, as text; NULL if there is none."""
-    import re
+_SCRIPT = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", re.I | re.S)
 
-    script = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", re.I | re.S)
 
-    def one(page: str | None) -> str | None:
-        for body in script.findall(page or ""):
-            try:
-                data = json.loads(body)
-            except ValueError:
-                continue
-            for item in data if isinstance(data, list) else [data]:
-                if isinstance(item, dict) and item.get("@type") == "JobPosting" and item.get("description"):
-                    return strip_tags(str(item["description"]))
-        return None
+def job_posting(page: str | None) -> dict:
+    """The first JobPosting among a page's JSON-LD objects or lists; empty if there is none."""
+    for body in _SCRIPT.findall(page or ""):
+        try:
+            data = json.loads(body)
+        except ValueError:
+            continue
+        for item in data if isinstance(data, list) else [data]:
+            if isinstance(item, dict) and item.get("@type") == "JobPosting":
+                return item
+    return {}
 
-    return html.map(one)
 
+@F.pandas_udf(T.StringType())
+def job_posting_text(html: pd.Series) -> pd.Series:
+    """Description of a page's JobPosting as text; NULL if there is none."""
+    return html.map(lambda page: strip_tags(str(d)) if (d := job_posting(page).get("description")) else None)
 
-class _Cards(HTMLParser):
-    """Elements of a tag and class, with their strings, links and headings."""
-
-    def __init__(self, tag: str, css: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.tag, self.css, self.depth, self.cards, self.heading = tag, css, 0, [], False
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = dict(attrs)
-        if self.depth:
-            self.depth += tag == self.tag
-        elif tag == self.tag and self.css in (a.get("class") or "").split():
-            self.depth = 1
-            self.cards.append({"texts": [], "links": [], "title": None, "id": a.get("id")})
-        if self.depth:
-            if tag == "a" and a.get("href"):
-                self.cards[-1]["links"].append(a["href"])
-            self.heading = self.heading or tag in ("h2", "h3")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("h2", "h3"):
-            self.heading = False
-        if self.depth and tag == self.tag:
-            self.depth -= 1
 
-    def handle_data(self, data: str) -> None:
-        if self.depth and data.strip():
-            self.cards[-1]["texts"].append(data.strip())
-            if self.heading and self.cards[-1]["title"] is None:
-                self.cards[-1]["title"] = data.strip()
-
-
-def cards(pages, tag: str, css: str):
-    """`page, ordinal, id, title, links, texts`: the cards of each page(page, html), in order."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for page, html in zip(b["page"], b["html"]):
-                p = _Cards(tag, css)
-                p.feed(html or "")
-                p.close()
-                rows += [(page, k, c["id"], c["title"], c["links"], c["texts"]) for k, c in enumerate(p.cards)]
-            yield pd.DataFrame(rows, columns=["page", "ordinal", "id", "title", "links", "texts"])
-
-    return pages.select("page", "html").mapInPandas(read, "page string, ordinal int, id string, title string, links array<string>, texts array<string>")
+@F.pandas_udf(T.StringType())
+def job_posting_field(html: pd.Series, field: pd.Series) -> pd.Series:
+    """A field of a page's JobPosting as text; NULL if there is none."""
+    return pd.Series([strip_tags(str(d)) if (d := job_posting(page).get(f)) else None for page, f in zip(html, field)], dtype=object)
 
 
 def last_page(html: Column, pattern: str = r"/page/(\d+)/") -> Column:

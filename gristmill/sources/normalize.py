@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse, text
-from ..schema import company_info, listing, undisclosed
+from ..schema import DOMAINS, company_info, listing, undisclosed
 
 # What the boards call things, and what they are called here.
 FREEWORK = {
@@ -37,6 +37,13 @@ DATASCIENCEJOBS = {
     "seniority": {"entry": "entry", "junior": "junior", "mid": "mid", "senior": "senior", "lead": "lead", "manager": "manager"},
 }
 
+
+
+def company_type(raw: Column) -> Column:
+    """The kind of a firm as research names it; unknown for anything else, NULL included."""
+    return text.mapped(F.lower(raw), {k: k for k in DOMAINS["org_type"]}, "unknown")
+
+
 _EMPTY = lambda: F.array().cast("array<string>")
 
 

@@ -53,9 +53,7 @@ def test_html(spark):
     assert html_text.strip_tags("<p>A &amp; B</p><b> c</b>") == "A & B c" and html_text.strip_tags(None) == ""
     page = '<script type="application/ld+json">[{"@type":"X"},{"@type":"JobPosting","description":"<p>Hi <b>you</b></p>"}]</script>'
     assert one(spark, page, html_text.job_posting_text) == "Hi you" and one(spark, "<p>", html_text.job_posting_text) is None
-    pages = spark.createDataFrame([(1, '<div class="job x" id="7"><h3>Title</h3><a href="/j">go</a></div><div>no</div>'), (2, None)], "page string, html string")
-    r = html_text.cards(pages, "div", "job").collect()
-    assert len(r) == 1 and (r[0]["id"], r[0]["title"], r[0]["links"]) == ("7", "Title", ["/j"])
+    assert one(spark, page.replace("description", "datePosted"), lambda c: html_text.job_posting_field(c, F.lit("datePosted"))) == "Hi you"
 
 
 def test_scores(spark):
