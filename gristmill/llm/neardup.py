@@ -123,8 +123,10 @@ def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block:
     dealt = dealt_buckets(classes.select("class", F.explode("bands").alias("bucket")), block)
     met = dealt.select("class", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     signed = classes.select("class", "cells").dropDuplicates(["class"])
-    grouped = met.select("class", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own").join(signed, "class")
-    placed = grouped.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    # One name for a bucket and two of its blocks; a block that meets itself is number -1.
+    both = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    grouped = met.select("class", both.alias("met"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("own")).join(signed, "class")
+    placed = grouped.repartition("met").sortWithinPartitions("met")
     per_word, chance = 64 // bits, 2.0**-bits
     kind = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
 
@@ -135,9 +137,9 @@ def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block:
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         """The pairs of whole groups, which stand one after another: each row is compared with the next, the next but one and so on."""
         name, own = g["class"].to_numpy(), g["own"].to_numpy()
-        place = g[["bucket", "one", "two"]].to_numpy()
-        group = np.cumsum(np.concatenate([[0], (place[1:] != place[:-1]).any(axis=1)]))
-        inner = place[:, 1] == place[:, 2]
+        place = g["met"].to_numpy()
+        group = np.cumsum(np.concatenate([[0], place[1:] != place[:-1]]))
+        inner = own < 0
         c = unpacked(np.stack(g["cells"].to_list()))
         at, step, out = np.arange(len(g)), 0, []
         while len(at):
@@ -159,8 +161,7 @@ def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block:
             if not len(b):
                 continue
             # The last group may go on in the next batch.
-            end = b.iloc[-1]
-            last = ((b["bucket"] == end["bucket"]) & (b["one"] == end["one"]) & (b["two"] == end["two"])).to_numpy()
+            last = (b["met"] == b["met"].iloc[-1]).to_numpy()
             rest = b[last]
             if not last.all():
                 yield meet(b[~last])
