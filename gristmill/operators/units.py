@@ -47,8 +47,8 @@ RATE_CUES = {"tjm :": "daily", "tjm:": "daily", "tjm": "daily", "day rate:": "da
 PERK_CUES = ("bonus", "voucher", "prime de", "prime annuelle", "tickets restaurant", "essensmarken", "vales de comida", "prima ", "buoni pasto", "premio", "maaltijdbonnen", "fresh capital", "capital au", "kapital", "de capital")
 
 _NUMBER = re.compile(r"\d{1,3}(?:[   .,'’]\d{3})+(?!\d)(?:[.,]\d{1,2}(?!\d))?|\d+(?:[.,]\d{1,2}(?!\d))?")
-#: How far, in characters, a figure may stand from the phrase that opens the statement, and how long a statement may be.
-_CUE_GAP, _REACH = 30, 110
+#: Where a sentence ends: at a line's end, or at a mark that a capital follows.
+_SENTENCE_END = re.compile(r"\n|[.!?;](?=\s+[^\W\d_a-zà-öø-ÿ])")
 _K = re.compile(r"\s?k(?![a-zà-ÿ])")
 
 
@@ -111,15 +111,15 @@ def stated_pay(text: str | None, currency: str | None, automaton: ahocorasick.Au
     for k, (start, end, what) in enumerate(hits):
         if not any(kind == "cue" for kind, _ in what):
             continue
-        stop = low.find("\n", end)
-        stop = min(end + _REACH, len(low) if stop < 0 else stop)
+        last_mark = _SENTENCE_END.search(text, end) if len(text) == len(low) else None
+        stop = last_mark.start() if last_mark else len(low)
         for s, _, w in hits[k + 1 :]:
             if s >= stop:
                 break
             if any(kind in ("perk", "cue") for kind, _ in w):
                 stop = s
         figures = [m for m in _NUMBER.finditer(low, end, stop)]
-        if not figures or figures[0].start() - end > _CUE_GAP:
+        if not figures:
             continue
         first = figures[0]
         # A second figure belongs to the same amount only if a range mark stands between them.
