@@ -16,7 +16,6 @@ corpus too small for counts has something to go by, and in a larger one weigh li
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -34,9 +33,10 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 _AT, _DOT = r"(?:\s?@\s?|\s?[\[(](?:at|AT|arobase)[\])]\s?|\sAT\s)", r"(?:\.|\s?[\[(](?:dot|DOT|point)[\])]\s?|\sDOT\s)"
 _AT_SIGN, _MAIL_REST = re.compile(_AT), re.compile(rf"{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
 _AT_MARKS = ("@", "(at)", "[at]", "(AT)", "[AT]", "(arobase)", "[arobase]", " AT ")
+_DIGIT = re.compile(r"\d")
 _WORD_AT = re.compile(r"(?<!\w)\w")
 _FIGURES = re.compile(r"\d[\d ().\-/]{4,}\d")
-_PERMIT = re.compile(r"(?<!\w)\d{2}[A-Z]{2}\d{5}(?!\w)")
+_PERMIT = re.compile(r"\d(?<!\w\d)\d[A-Z]{2}\d{5}(?!\w)")
 _LEFT, _RIGHT = re.compile(r"(?:\(?\+|\(|(?<!\w)[A-Z]{1,2}[ -]?)$"), re.compile(r"[ -]?[A-Z]{1,2}(?!\w)")
 # Phone numbers by form, on a run of figures and marks.
 _PHONE = re.compile(
@@ -71,7 +71,8 @@ ADDRESSES = (
 _PARTICLES = ("de la", "de las", "de los", "de", "du", "del", "des", "von der", "von", "van der", "van", "di", "da")
 _PARTICLE_WORDS = {w for p in _PARTICLES for q in (p, p.upper(), p.capitalize()) for w in q.split(" ")}
 _TOKEN = rf"(?:{_C}\.(?!\w)|(?:{_C}['’])?{_C}[^\W\d]*(?:-(?:{_C}['’])?{_C}[^\W\d]*)*(?!\w))"
-_MENTION = re.compile(rf"(?<![\w'’-]){_TOKEN}")
+# _TOKEN where no word goes on before it; a capital stands first in the pattern, so that the search leaps from one to the next.
+_MENTION = re.compile(rf"{_C}(?<![\w'’\-].)(?:\.(?!\w)|(?:['’]{_C})?[^\W\d]*(?:-(?:{_C}['’])?{_C}[^\W\d]*)*(?!\w))")
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Dr.", "Prof.", "Mme", "Mlle", "M.", "Monsieur", "Madame", "Herr", "Herrn", "Frau", "Sr.", "Sra.", "Don", "Doña", "Señor", "Señora", "Sir", "Mr.", "Mrs.", "Ms.")
 _TITLE_WORDS = frozenset(w for t in TITLES if t != "M." for w in (t, t.rstrip(".")))
 _LOWER = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)* [^\W\d_]{2,}(?:-[^\W\d_]+)*(?![\w@.])")
@@ -151,6 +152,9 @@ def formal_spans(text: str, hits: dict[str, list[tuple[int, int, object]]]) -> l
     for start, end, k in hits["street"]:
         # The pattern is tried at each of the words before the street word, of which an address has so many at most, and must cover it.
         left = max(_words_back(text, start, 9), tried.get(k, 0))
+        if k < 2 and not _DIGIT.search(text, left, start):
+            # The house number stands before the street in these.
+            continue
         for w in _WORD_AT.finditer(text, left, end):
             m = ADDRESSES[k].match(text, w.start())
             if m and m.end() >= end - 1 and free(*m.span()):
@@ -278,9 +282,8 @@ def silent_terms(documents: DataFrame) -> frozenset[str]:
             for text in b["text"]:
                 if not text:
                     continue
-                words = set(_MENTION.findall(text))
+                low = {w.lower() for w in set(_MENTION.findall(text))}
                 mails = _mail_parts([text[max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start()), text.rfind(";", 0, m.start())) + 1 : m.start()] for m in _AT_SIGN.finditer(text)]) if any(x in text for x in _AT_MARKS) else []
-                low = {w.lower() for w in words}
                 seen.update(low)
                 if mails:
                     joined = " ".join(mails)
@@ -522,25 +525,35 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
     total = noted.where("term <> ''").count()
     least = max(SUPPORT, SHARE * total)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = noted.select("term", "before", "behind", "at")
+
+    def rows(b: pd.DataFrame) -> Iterator[tuple[list[str], list[str], list[str], list[int]]]:
+        """Terms, places and sureness of the mentions of each text."""
+        for term, before, behind, at in zip(b["term"], b["before"], b["behind"], b["at"]):
+            if term:
+                yield term.split(_SEP), before.split(_SEP), behind.split(_SEP), np.frombuffer(at, np.int32)[3::_FIELDS].tolist()
+
+    def summed(yes: dict[str, float], no: dict[str, float], names: tuple[str, str, str]) -> Iterator[pd.DataFrame]:
+        if no:
+            yield pd.DataFrame({names[0]: pd.Series(list(no), dtype=object), names[1]: pd.Series(list(no.values()), dtype=float), names[2]: pd.Series([yes.get(k, 0.0) for k in no], dtype=float)})
+
+    def by_term(batches: Iterator[pd.DataFrame], held=None) -> Iterator[pd.DataFrame]:
+        """How often each term stands, and how often as a person's: where it certainly is, or where its place says so."""
+        judge, never = held.value if held else (None, frozenset())
         for b in batches:
-            seen: Counter[tuple[str, str, str]] = Counter()
-            certain: Counter[tuple[str, str, str]] = Counter()
-            firm: Counter[tuple[str, str, str]] = Counter()
-            for term, before, behind, at in zip(b["term"], b["before"], b["behind"], b["at"]):
-                if term:
-                    here = list(zip(term.split(_SEP), before.split(_SEP), behind.split(_SEP)))
-                    seen.update(here)
-                    sure = np.frombuffer(at, np.int32)[3::_FIELDS]
-                    certain.update(itertools.compress(here, (sure > 0).tolist()))
-                    firm.update(itertools.compress(here, (sure < 0).tolist()))
-            if not seen:
-                continue
-            t, l, r = zip(*seen)
-            yield pd.DataFrame({"term": t, "before": l, "behind": r, "n": list(seen.values()), "s": [certain[k] for k in seen], "f": [firm[k] for k in seen]}).astype({"n": "int64", "s": "int64", "f": "int64"})
+            n: dict[str, float] = {}
+            s: dict[str, float] = {}
+            for terms, before, behind, sure in rows(b):
+                for t, l, r, x in zip(terms, before, behind, sure):
+                    n[t] = n.get(t, 0.0) + 1
+                    if x >= 0 and (x > 0 if judge is None else t not in never and (x > 0 or judge.base + judge.place("before", l) + judge.place("behind", r) >= 0)):
+                        s[t] = s.get(t, 0.0) + 1
+            yield from summed(s, n, ("term", "n", "s"))
+
+    def terms_of(held=None) -> DataFrame:
+        each = columns.mapInPandas(lambda batches: by_term(batches, held), "term string, n double, s double")
+        return cut(each.groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
 
-    each = noted.select("term", "before", "behind", "at").mapInPandas(count, "term string, before string, behind string, n bigint, s bigint, f bigint")
-    places = cut(each.groupBy("term", "before", "behind").agg(*[F.sum(c).alias(c) for c in "nsf"]))
     prior = _prior_places()
     priors = spark.createDataFrame([(k, p, q) for k, (p, q) in prior.items()], "key string, p double, q double")
     judge = Judge({}, {}, -4.0)
@@ -549,7 +562,7 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
         share = 1 / (1 + 2.0**-base)
         return F.log2((F.col("s") + 2 * share) / (F.col("n") - F.col("s") + 2 * (1 - share)))
 
-    by = cut(places.groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("s")))
+    by = terms_of()
     never: frozenset[str] = frozenset()
     for k in range(rounds + 1):
         t = by.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -566,36 +579,34 @@ def learned(noted: DataFrame, rounds: int = 2) -> tuple[Judge, DataFrame]:
         labels = spark.sparkContext.broadcast({w: int(o >= base) for w, o in common.items() if abs(o - base) >= THRESHOLD_BITS})
 
         def by_place(batches: Iterator[pd.DataFrame], labels=labels) -> Iterator[pd.DataFrame]:
-            """Persons and others of each place. Terms without a label count by their certain cases, the others at half."""
+            """Persons and others of each place. A term without a label counts where it certainly is one or the other, elsewhere half against."""
+            told, memo = labels.value, {}
             for b in batches:
                 p: dict[str, float] = {}
                 q: dict[str, float] = {}
-                told = labels.value
-                for term, before, behind, n, s, f in zip(*[b[c].tolist() for c in ("term", "before", "behind", "n", "s", "f")]):
-                    label = told.get(term)
-                    yes, no = (s, (n - s + f) / 2) if label is None else (n - f, f) if label else (0, n)
-                    for key in (*place_keys("before", before), *place_keys("behind", behind)):
-                        p[key] = p.get(key, 0.0) + yes
-                        q[key] = q.get(key, 0.0) + no
-                    p[""] = p.get("", 0.0) + yes
-                    q[""] = q.get("", 0.0) + no
-                if p:
-                    yield pd.DataFrame({"key": pd.Series(list(p), dtype=object), "p": pd.Series(list(p.values()), dtype=float), "q": pd.Series(list(q.values()), dtype=float)})
-
-        counts = places.mapInPandas(by_place, "key string, p double, q double").unionByName(priors).groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+                for terms, before, behind, sure in rows(b):
+                    for t, l, r, x in zip(terms, before, behind, sure):
+                        label = told.get(t)
+                        yes = 0.0 if x < 0 or label == 0 else 1.0 if label or x > 0 else 0.0
+                        no = 0.0 if yes else 0.5 if label is None and x == 0 else 1.0
+                        keys = memo.get((l, r))
+                        if keys is None:
+                            if len(memo) > 200_000:
+                                memo.clear()
+                            keys = memo[l, r] = ("", *place_keys("before", l), *place_keys("behind", r))
+                        for key in keys:
+                            q[key] = q.get(key, 0.0) + no
+                        if yes:
+                            for key in keys:
+                                p[key] = p.get(key, 0.0) + yes
+                yield from summed(p, q, ("key", "q", "p"))
+
+        counts = columns.mapInPandas(by_place, "key string, q double, p double").unionByName(priors).groupBy("key").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
         kept = {r["key"]: (r["p"], r["q"]) for r in counts.where((F.col("p") + F.col("q") >= least) | F.col("key").isin("", *prior)).collect()}
         p, q = kept.pop("", (0.0, 0.0))
         middle = math.log2((p + 1) / (q + 10))
         judge = Judge({}, {key: _odds(p, q, middle) - middle for key, (p, q) in kept.items()}, middle)
-        held = spark.sparkContext.broadcast((judge, never))
-
-        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            j, never = held.value
-            for b in batches:
-                yes = [t not in never and (x > 0 or j.base + j.place("before", l) + j.place("behind", r) >= 0) for t, x, l, r in zip(*[b[c].tolist() for c in ("term", "s", "before", "behind")])]
-                yield b[["term", "n"]].assign(s=(b["n"] - b["f"]).where(pd.Series(yes, index=b.index), 0).astype("float64"))
-
-        by = cut(places.mapInPandas(score, "term string, n bigint, s double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+        by = terms_of(spark.sparkContext.broadcast((judge, never)))
     raise AssertionError("unreachable")
 
 
