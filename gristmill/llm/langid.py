@@ -367,7 +367,7 @@ def text_languages(jobs: DataFrame, documents: DataFrame, models: CharModels | N
     """`id, label, lang, confidence, share, languages`: the language of each text by characters, and whether lines differ.
 
     The language of most characters wins (ties: the first by code); confidence is the character-weighted mean of its lines', share its
-    part of the judged characters. Texts without a judged line give no row.
+    part of the judged characters. A text without a judged line (NULL, empty, short lines only, or all rejected) is `und` with confidence 0.
     """
     models = models or train(sample_lines(documents, jobs))
     lines = judged_lines(jobs, models).where(F.col("lang") != UNDECIDED).distinct()
@@ -375,4 +375,13 @@ def text_languages(jobs: DataFrame, documents: DataFrame, models: CharModels | N
     best = by.groupBy("id").agg(
         F.min(F.struct((-F.col("chars")).alias("c"), "lang", "weight")).alias("b"), F.sum("chars").alias("all"), F.count("*").alias("languages"), F.first("label", ignorenulls=True).alias("label")
     )
-    return best.select("id", "label", F.col("b.lang").alias("lang"), F.round(F.col("b.weight") / -F.col("b.c"), 6).alias("confidence"), F.round(-F.col("b.c") / F.col("all"), 6).alias("share"), "languages")
+    told = best.select("id", F.col("b.lang").alias("lang"), F.round(F.col("b.weight") / -F.col("b.c"), 6).alias("confidence"), F.round(-F.col("b.c") / F.col("all"), 6).alias("share"), F.col("languages").cast("bigint").alias("languages"))
+    every = jobs.where("id is not null").groupBy("id").agg(F.min(label_language(F.col("description_language"))).alias("label"))
+    out = every.join(told, "id", "left")
+    return out.select("id", "label", F.coalesce("lang", F.lit(UNDECIDED)).alias("lang"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("confidence", "share")], F.coalesce("languages", F.lit(0)).alias("languages"))
+
+
+def segment_languages(jobs: DataFrame, documents: DataFrame, models: CharModels | None = None) -> DataFrame:
+    """`id, line_no, chars, lang, confidence` of each line of LEAST_CHARS characters or more, `und` where it is rejected. Repeated rows count once."""
+    models = models or train(sample_lines(documents, jobs))
+    return judged_lines(jobs, models).select("id", "line_no", "chars", "lang", F.round("confidence", 6).alias("confidence")).distinct()

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut
 from .tokens import VOCABULARY, sized
 
-#: Blocks a source is cut into, and records of an output shard, about.
-BLOCKS, SHARD_RECORDS = 1024, 20_000
+#: Blocks a source is cut into, parts a block is cut into where a pass ends within it, and records of an output shard, about.
+BLOCKS, PARTS, SHARD_RECORDS = 1024, 1024, 20_000
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -116,15 +116,37 @@ def mix(sized_docs: DataFrame, mix_targets: DataFrame, seed: int = 17, blocks: i
         shard_of = np.repeat(np.arange(shards), table[:, k])
         dealt += [(s, mine[i][1], mine[i][2], int(shard_of[j])) for j, i in enumerate(order)]
     # Rows: blocks x repetitions x sources, a fixed bound, so broadcast.
-    plan = F.broadcast(spark.createDataFrame(dealt, "source string, block int, copy int, shard int"))
+    # A shard of blocks that holds too many records is split by hash, into numbers of its own.
+    sizes = {(s, r["block"]): r["n"] for s in by for r in by[s]}
+    held = np.zeros(shards, np.int64)
+    for s, block, _, k in dealt:
+        held[k] += sizes[s, block]
+    split = np.maximum(1, -(-held // shard_records))
+    first = np.cumsum(split) - split
+    plan = F.broadcast(spark.createDataFrame([(*d, int(first[d[3]]), int(split[d[3]])) for d in dealt], "source string, block int, copy int, shard int, first int, split int"))
     used = docs.join(plan, ["source", "block"])
     if partial:
-        ends = F.broadcast(spark.createDataFrame(partial, "source string, block int, copy int, want bigint"))
-        cut_blocks = used.join(ends, ["source", "block", "copy"])
-        # The cut block's records in order, as long as they do not overshoot by more than half of the last.
+        ends = F.broadcast(spark.createDataFrame([x[:3] for x in partial], "source string, block int, copy int"))
+        part = F.least(F.floor((F.col("u") * blocks - F.col("block")) * PARTS), F.lit(PARTS - 1)).cast("int")
+        cut_blocks = used.join(ends, ["source", "block", "copy"]).withColumn("part", part)
+        # At most PARTS rows for each source with a cut block; the pass ends within one of them.
+        sums = cut_blocks.groupBy("source", "block", "copy", "part").agg(F.sum("n_tokens").alias("tokens")).orderBy("part").collect()
+        edges = []
+        for s, block, copy, want in partial:
+            edge, rest = PARTS, want
+            for r in [r for r in sums if (r["source"], r["block"], r["copy"]) == (s, block, copy)]:
+                if r["tokens"] > rest:
+                    edge = r["part"]
+                    break
+                rest -= r["tokens"]
+            edges.append((s, block, copy, edge, rest))
+        at = cut_blocks.join(F.broadcast(spark.createDataFrame(edges, "source string, block int, copy int, edge int, rest bigint")), ["source", "block", "copy"])
+        # Of that part the records in order, as long as they do not overshoot by more than half of the last.
         w = Window.partitionBy("source", "block", "copy").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        kept = cut_blocks.withColumn("upto", F.sum("n_tokens").over(w)).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("want")).select(*used.columns)
+        last = at.where("part = edge").withColumn("upto", F.sum("n_tokens").over(w)).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"))
+        kept = at.where("part < edge").select(*used.columns).unionByName(last.select(*used.columns))
         used = used.join(ends, ["source", "block", "copy"], "left_anti").select(*used.columns).unionByName(kept)
+    used = used.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed + 2)), F.col("split")).cast("int"))
     # A shard holds a bounded number of records: its order is its own affair.
     local = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "copy", F.lit(seed + 1)), "doc_id", "copy")
     return used.select("shard", (F.row_number().over(local) - 1).cast("long").alias("position"), "source", "doc_id", "copy", "n_tokens")

@@ -44,6 +44,11 @@ def p6_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.text_languages(table(spark, d, "jobs"), table(spark, d, "documents"))
 
 
+@query
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.segment_languages(table(spark, d, "jobs"), table(spark, d, "documents"))
+
+
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found_data(table(spark, d, "documents"))

@@ -285,7 +285,9 @@ def test_languages(spark, models):
     got = {tuple(r) for r in langid.mislabelled_lines(jobs(spark, rows + rows), None, models).collect()}
     assert {g for g in got if g[0] != "7"} == {("1", 2, "fr"), ("2", 1, "fr"), ("3", 1, "en")} and len([g for g in got if g[0] == "7"]) == 3000
     whole = {r["id"]: (r["lang"], r["languages"]) for r in langid.text_languages(jobs(spark, rows), None, models).collect()}
-    assert whole["1"] == ("en", 2) and whole["2"] == ("fr", 1) and "4" not in whole
+    assert whole["1"] == ("en", 2) and whole["2"] == ("fr", 1) and whole["4"] == whole["5"] == ("und", 0)
+    parts = {(r["id"], r["line_no"]): r["lang"] for r in langid.segment_languages(jobs(spark, rows), None, models).collect()}
+    assert parts["1", 1] == "en" and parts["1", 2] == "fr" and ("1", 3) not in parts
     assert langid.mislabelled_lines(jobs(spark, []), None, models).count() == 0
 
 
@@ -364,6 +366,11 @@ def test_mixing(spark):
     for s in {r["shard"] for r in got}:
         assert sorted(r["position"] for r in got if r["shard"] == s) == list(range(sum(1 for r in got if r["shard"] == s)))
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7), targets, blocks=32, shard_records=500).collect()))
+    # Many records to few blocks: shards stay small and the shares stay what they are.
+    few = mixing.mix(docs, targets, blocks=2, shard_records=100)
+    assert few.groupBy("shard").count().agg(F.max("count")).first()[0] < 200
+    again = {r["source"]: r["actual_share"] for r in mixing.share_report(few, targets).collect()}
+    assert abs(again["big"] - share["big"]) < 0.003 and few.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.share_report(mixing.mix(docs.limit(0), targets), targets).count() == 3
 
 
