@@ -15,6 +15,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import broadcast_if_small
+
 # Spellings of units. A value with "?" has several meanings; the columns of the row decide, else the first.
 CURRENCY_ALIASES = {
     "eur": "EUR", "euro": "EUR", "euros": "EUR", "€": "EUR", "k€": "EUR",
@@ -159,7 +161,7 @@ def annual_pay(jobs: DataFrame, pay_units: DataFrame, thousands_below: float = 1
     euros and an unknown or missing period as yearly; a yearly figure below `thousands_below` is in thousands. NULL and empty
     texts state nothing, repeated rows give one row, and undisclosed listings give none.
 
-    `pay_units` (kind, code, factor) is a table of units: its size does not depend on the listings, so it is broadcast.
+    `pay_units` (kind, code, factor) is a table of units: its size does not depend on the listings, and it is counted before it is broadcast.
     """
     rows = jobs.where(F.col("salary.is_disclosed")).select(
         "id",
@@ -188,7 +190,8 @@ def annual_pay(jobs: DataFrame, pay_units: DataFrame, thousands_below: float = 1
         period.alias("period"),
         F.when(stated, F.col("said")).when((period == "yearly") & (F.col("figure") < thousands_below), F.col("figure") * 1000).otherwise(F.col("figure")).alias("amount"),
     )
-    of = lambda kind, name: F.broadcast(pay_units.where(F.col("kind") == kind).select(F.col("code").alias(name), F.col("factor").alias(f"{name}_factor")))
+    rows_of_units = pay_units.count()
+    of = lambda kind, name: broadcast_if_small(pay_units.where(F.col("kind") == kind).select(F.col("code").alias(name), F.col("factor").alias(f"{name}_factor")), rows_of_units)
     return (
         chosen.join(of("currency", "currency"), "currency", "left")
         .join(of("frequency", "period"), "period", "left")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import list_cell, number_cell, whole_cell
@@ -89,26 +86,36 @@ def fetch(jobs: DataFrame, columns: list[str], where: str, order: list[Column] |
 
 
 class Store:
-    """Named tables as parquet versions; a pointer file names the current one, so readers never see half a write."""
+    """Named tables as parquet versions on any file system Spark can reach. A version counts once its write is committed, so readers never see half a write."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, str(root).rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self, name: str) -> list[int]:
+        at = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(at):
+            return []
+        found = [x.getPath() for x in self._fs.listStatus(at)]
+        return sorted(int(x.getName()[2:]) for x in found if x.getName().startswith("v=") and self._fs.exists(self._path(x, "_SUCCESS")))
 
     def version(self, name: str) -> int:
-        p = self.root / name / "_CURRENT"
-        return json.loads(p.read_text())["version"] if p.exists() else 0
+        return max(self.versions(name), default=0)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.root / name / f"v={self.version(name)}"))
+        return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
 
     def write(self, name: str, df: DataFrame) -> int:
         n = self.version(name) + 1
-        df.write.mode("overwrite").parquet(str(self.root / name / f"v={n}"))
-        new = self.root / name / "_NEXT"
-        new.write_text(json.dumps({"version": n}))
-        new.replace(self.root / name / "_CURRENT")
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
         return n
 
+    def forget(self, name: str, keep: int = 2) -> None:
+        """Delete all versions but the last `keep`."""
+        for n in self.versions(name)[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/{name}/v={n}"), True)
+
 
 # The columns of the ranked flat export, in order.
 RANKED_COLUMNS = {

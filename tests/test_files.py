@@ -38,7 +38,7 @@ def test_exports(spark, tmp_path):
     assert data[0]["company_info"]["industry"] == [] and data[0]["company_info"]["name"] == "Acme" and data[0]["salary"] is None
     csv = spark.createDataFrame([("https://a/",), ("https://b",)], "apply_url string")
     known = spark.createDataFrame([("7", "https://a")], "id string, apply_url string")
-    assert sorted(r["id"][:4] for r in adopt_ids(csv, known).collect()) == ["7", "csv:"]
+    assert sorted(r["id"][:4] for r in adopt_ids(csv, known).collect()) == ["7", "http"]
 
 
 def test_enrichment_leaves_failures_pending(spark):
