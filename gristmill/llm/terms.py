@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
+from ..session import broadcast_if_small, cut
 
 #: Spellings beyond the list's own aliases: what people of the trade write for an entry. A parameter of `map_terms`.
 SECTOR_SYNONYMS = {
@@ -126,21 +126,25 @@ def typed_values(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _one_slip(a: Column, b: Column) -> Column:
-    """One character put in, left out or replaced, or two neighbours swapped."""
+#: From how many characters on two slips are accepted instead of one.
+TWO_SLIPS_FROM = 8
+
+
+def within_slips(a: Column, b: Column) -> Column:
+    """One character put in, left out or replaced, or two neighbours swapped; in spellings of TWO_SLIPS_FROM characters and more any two edits."""
     d = F.levenshtein(a, b)
     swapped = (d == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
-    return (d <= 1) | swapped
+    return (d <= 1) | swapped | ((d == 2) & (F.least(F.length(a), F.length(b)) >= TWO_SLIPS_FROM))
 
 
 def map_values(values: DataFrame, spellings: DataFrame) -> DataFrame:
     """`kind, raw_value, term_id` for the distinct values; term_id 0 where nothing fits.
 
     Steps, the first that gives an entry wins: the value as it is, without marks, without qualifying words (technologies), and one
-    slip away. Ties go to the lower distance, then the better rank, then the smaller term_id. `spellings` has a fixed size (the
-    reference list and its synonyms), so it is broadcast. Empty values and values without a letter or digit map to 0.
+    slip away. Ties go to the lower distance, then the better rank, then the smaller term_id. `spellings` (the
+    reference list and its synonyms) is counted, and broadcast if it is small. Empty values and values without a letter or digit map to 0.
     """
-    spellings = F.broadcast(spellings.select("kind", F.col("key").alias("ref"), "rank", "term_id"))
+    spellings = broadcast_if_small(spellings.select("kind", F.col("key").alias("ref"), "rank", "term_id"), spellings.count())
     distinct = cut(values.select("kind", "raw_value").distinct())
     forms = distinct.withColumn("folded", fold(F.col("raw_value"))).withColumn("bare", strip_marks(F.col("folded")))
     forms = forms.select(
@@ -166,9 +170,9 @@ def map_values(values: DataFrame, spellings: DataFrame) -> DataFrame:
         "kind", "ref", "rank", "term_id", n.alias("ref_len"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("piece"), start(i).alias("at"), F.col("ref").substr(start(i) + 1, start(i + 1) - start(i)).alias("segment")) for i in range(k + 1)])).alias("s"),
     ).select("kind", "ref", "rank", "term_id", "ref_len", "s.piece", "s.segment")
-    # A value of length m probes the segments of references of the lengths m - 1 .. m + 1 (a slip changes the length by one at most).
+    # A value of length m probes the segments of references of the lengths m - k .. m + k.
     m = F.length("key")
-    probes = rest.select("kind", "raw_value", "key", F.explode(F.array(m - 1, m, m + 1)).alias("ref_len")).withColumn("piece", F.explode(F.array(*[F.lit(i) for i in range(k + 1)])))
+    probes = rest.select("kind", "raw_value", "key", F.explode(F.array(*[m + d for d in range(-k, k + 1)])).alias("ref_len")).withColumn("piece", F.explode(F.array(*[F.lit(i) for i in range(k + 1)])))
     at = F.floor(F.col("ref_len") * F.col("piece") / F.lit(k + 1)).cast("int")
     width = F.floor(F.col("ref_len") * (F.col("piece") + 1) / F.lit(k + 1)).cast("int") - at
     probes = (
@@ -178,8 +182,8 @@ def map_values(values: DataFrame, spellings: DataFrame) -> DataFrame:
         .select("kind", "raw_value", "key", "ref_len", "piece", F.col("key").substr(F.col("at") + F.col("shift") + 1, F.col("width")).alias("segment"))
     )
     typos = (
-        probes.join(F.broadcast(pieces), ["kind", "ref_len", "piece", "segment"])
-        .where(_one_slip(F.col("key"), F.col("ref")))
+        probes.join(broadcast_if_small(pieces, pieces.count()), ["kind", "ref_len", "piece", "segment"])
+        .where(within_slips(F.col("key"), F.col("ref")))
         .groupBy("kind", "raw_value")
         .agg(F.min(F.struct(F.levenshtein(F.col("key"), F.col("ref")).alias("d"), "rank", "term_id"))["term_id"].alias("term_id"))
     )
@@ -194,8 +198,8 @@ def map_terms(jobs: DataFrame, ref_terms: DataFrame, synonyms: dict[str, dict[st
     NULL values, NULL arrays and NULL elements give no row; an empty string is a value that stands for nothing. Repeated rows
     and repeated elements give one row. An empty reference list gives 0 for every value.
     """
-    labels = F.broadcast(ref_terms.select("kind", F.col("label").alias("raw_value")))
-    # NULL-safe and unskewed: the list is broadcast, and rows are made distinct before anything is shuffled.
+    labels = broadcast_if_small(ref_terms.select("kind", F.col("label").alias("raw_value")), ref_terms.count())
+    # NULL-safe and unskewed: a list of checked size is broadcast, and rows are made distinct before anything is shuffled.
     typed = typed_values(jobs).join(labels, ["kind", "raw_value"], "left_anti").distinct()
     typed = cut(typed)
     mapped = map_values(typed, cut(reference_spellings(ref_terms, synonyms)))

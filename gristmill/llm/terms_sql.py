@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .terms import _ACCENTS, QUALIFIERS, SYNONYMS
+from .terms import _ACCENTS, QUALIFIERS, SYNONYMS, TWO_SLIPS_FROM
 
 
 def _quote(s: str) -> str:
@@ -55,9 +55,10 @@ keys AS (
 exact_of AS (SELECT e.kind, e.raw_value, best[3] AS term_id FROM (SELECT keys.kind, keys.raw_value, min([step, ref.best[1], ref.best[2]]) AS best FROM keys JOIN ref ON keys.kind = ref.kind AND keys.key = ref.ref WHERE length(keys.key) > 0 GROUP BY 1, 2) e),
 slips AS (
   SELECT k.kind, k.raw_value, min([levenshtein(k.key, r.ref), r.best[1], r.best[2]]) AS best
-  FROM keys k JOIN ref r ON k.kind = r.kind AND length(k.key) >= 4 AND length(r.ref) >= 4 AND abs(length(k.key) - length(r.ref)) <= 1
+  FROM keys k JOIN ref r ON k.kind = r.kind AND length(k.key) >= 4 AND length(r.ref) >= 4 AND abs(length(k.key) - length(r.ref)) <= 2
   WHERE NOT EXISTS (SELECT 1 FROM exact_of x WHERE x.kind = k.kind AND x.raw_value = k.raw_value)
-    AND (levenshtein(k.key, r.ref) <= 1 OR (levenshtein(k.key, r.ref) = 2 AND length(k.key) = length(r.ref) AND list_sort(string_split(k.key, '')) = list_sort(string_split(r.ref, ''))))
+    AND (levenshtein(k.key, r.ref) <= 1 OR (levenshtein(k.key, r.ref) = 2 AND length(k.key) = length(r.ref) AND list_sort(string_split(k.key, '')) = list_sort(string_split(r.ref, '')))
+      OR (levenshtein(k.key, r.ref) = 2 AND least(length(k.key), length(r.ref)) >= {TWO_SLIPS_FROM}))
   GROUP BY 1, 2),
 mapped AS (SELECT kind, raw_value, term_id FROM exact_of UNION ALL SELECT kind, raw_value, best[3] FROM slips)
 SELECT id, kind, raw_value, CAST(coalesce(term_id, 0) AS BIGINT) AS term_id FROM typed LEFT JOIN mapped USING (kind, raw_value)"""
