@@ -104,8 +104,8 @@ def employer_drift(master: DataFrame, tailored: DataFrame) -> DataFrame:
 
 def count_drift(master: DataFrame, tailored: DataFrame) -> DataFrame:
     """`expected, found`: one row if the numbers of employers differ, else none."""
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(master, "expected").crossJoin(n(tailored, "found")).where("expected != found")
+    one = lambda df, here: df.select(F.lit(int(here)).alias("m"), F.lit(int(not here)).alias("t"))
+    return one(master, True).unionByName(one(tailored, False)).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("expected"), F.coalesce(F.sum("t"), F.lit(0)).alias("found")).where("expected != found")
 
 
 def audit(master: DataFrame, tailored: DataFrame, texts: DataFrame, merged: bool = False) -> DataFrame:
