@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import cut, table
 from . import entities, langid, mixing, names, neardup, packing, pii, terms, terms_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,4 +99,33 @@ def p4_matched(spark: SparkSession, d: str) -> DataFrame:
     return entities.matched_openings(table(spark, d, "jobs"), table(spark, d, "raw_faruse"))
 
 
+@query
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing: every text with a word is in each kind of container, none is split that fits, and none overflows."""
+    packed = p7_packed(spark, d)
+    texts = packed.groupBy("container", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    by = texts.groupBy("container").agg(F.count("*").alias("texts"), F.count_if((F.col("n") <= F.col("capacity_tokens")) & (F.col("pieces") > 1)).alias("split"))
+    fills = packed.groupBy("container", "capacity_tokens", "container_no").agg(F.sum("n_tokens").alias("n"))
+    return by.join(fills.groupBy("container").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull")), "container")
+
+
+@query
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a mix: a source misses its share by less than two of the longest records, and uses no record more often than it may."""
+    targets, mixed = table(spark, d, "mix_targets"), cut(p8_mixed(spark, d))
+    slack = mixed.agg(2 * F.max("n_tokens") / F.sum("n_tokens")).first()[0] or 0.0
+    rows = mixing.share_report(mixed, targets).join(targets.select("source", "max_repeats"), "source")
+    return rows.select("source", "target_share", (F.abs(F.col("actual_share") - F.col("target_share")) <= slack).alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("within"))
+
+
+@query
+def p6_segment_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many segments of each listing are judged."""
+    return p6_segments(spark, d).groupBy("id").agg(F.count("*").alias("segments"))
+
+
 SQL["p1_found"] = terms_sql.mapping_sql()
+SQL["p7_whole"] = "SELECT container, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS texts, 0 AS split, 0 AS overfull FROM pack_sizes"
+SQL["p8_near"] = "SELECT source, target_share, TRUE AS near, TRUE AS within FROM mix_targets"
+SQL["p6_segment_counts"] = """WITH t AS (SELECT DISTINCT id, description_text FROM jobs WHERE id IS NOT NULL AND description_text IS NOT NULL), l AS (SELECT id, unnest(string_split(description_text, chr(10))) AS line FROM t)
+SELECT id, count(*) AS segments FROM l WHERE length(trim(line, ' ' || chr(9) || chr(13))) >= 40 GROUP BY 1"""
