@@ -164,7 +164,7 @@ def test_components(spark):
 def test_names(spark):
     assert names.lcs_length("abcbdab", "bdcaba") == 4 and names.lcs_ratio("", "") == 0.0
     assert names.name_match(["vosepral", "breguvur"], ["breguvur", "vosepral", "sas"]) == "full"
-    assert names.name_match(["n.", "bramestil"], ["nathaniel", "bramestil"]) == "full" and names.name_match(["flavretruth", "academy"], ["flavretruth", "figromer"]) == "none"
+    assert names.name_match(["n.", "bramestil"], ["nathaniel", "bramestil"]) == "full" and names.name_match(["flavretruth", "academy"], ["flavretruth", "figromer"]) == "like" and names.name_match(["dubro"], ["vekan"]) == "none"
     rows = [
         ("a", "dubrokem guvodath", "https://www.dub.test/x", 1980, "FR"), ("b", "doubrokem guvodath sas", "dub.test", None, None), ("c", "guvodath, dubrokem", None, 1980, None), ("d", "dubrokem academy", "acad.test", 1999, "FR"),
         ("e", "dubrokem guvodath", None, 1981, "DE"), ("f", None, None, None, None), ("g", "  ", None, None, None), ("a", "dubrokem guvodath", "https://www.dub.test/x", 1980, "FR"), ("h", "x" * 5000, None, None, None), (None, "dubrokem guvodath", None, None, None),
