@@ -190,6 +190,50 @@ def test_names_of_common_suffixes(spark):
     assert names.names_that_meet(rows, block=8).count() == 780
 
 
+def test_names_that_agree_all_meet(spark):
+    """Against brute force: slips anywhere in a word, initials, abbreviations, stops, words joined and split, short and long words."""
+    rng = random.Random(8)
+    syllable = lambda: rng.choice("bdfgklmnprstvz") + rng.choice("aeiou")
+    word = lambda: "".join(syllable() for _ in range(rng.choice((1, 2, 3, 4, 5, 7)))) + rng.choice(("", "n", "rk"))
+
+    def slip(w):
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            k = rng.randrange(len(w))
+            w = rng.choice((w[:k] + w[k + 1 :], w[:k] + rng.choice("abc") + w[k:], w[:k] + rng.choice("xyz") + w[k + 1 :])) or "a"
+        return w
+
+    some = []
+    for _ in range(60):
+        n = [word() for _ in range(rng.choice((1, 2, 2, 2, 3)))]
+        some.append(n)
+        for _ in range(5):
+            m = [slip(w) for w in n]
+            k = rng.randrange(len(m))
+            m[k] = rng.choice((m[k], m[k], m[k][:1] + ".", m[k][:4] + ".", m[k][:2] + word(), m[k] + "."))
+            rng.shuffle(m)
+            some.append(rng.choice((m, m, m[:1], [*m, "sas"], ["".join(m)], [*m, word()])))
+    some += [["ibm"], ["ibm", "sas"], ["sas", "ibm"], ["group"], ["the", "group"], ["group", "the"]]
+    some = [list(x) for x in dict.fromkeys(tuple(x) for x in some)]
+    df = spark.createDataFrame(list(enumerate(some)), "nid bigint, words array<string>")
+    hosts = spark.createDataFrame([(0, "x"), (200, "x"), (3, None), (4, None)], "nid bigint, host string")
+    met = {tuple(r) for r in names.names_that_may_agree(df, hosts, block=8).collect()}
+    agree = {(i, j) for i, j in itertools.combinations(range(len(some)), 2) if names.name_match(some[i], some[j]) in ("full", "part")}
+    assert len(agree) > 300 and agree <= met and (0, 200) in met and (3, 4) not in met
+    assert len(met) < len(some) ** 2 / 8
+    words = sorted({w for x in some for w in names.core_words(x)})
+    match = {(x, y) for x, y in itertools.combinations(words, 2) if names._word_match(x, y) >= 0.8}
+    assert {tuple(sorted(r)) for r in names.matching_words(spark.createDataFrame([(w,) for w in words], "word string"), block=8).collect()} == match
+
+
+def test_companies_of_no_common_suffix(spark):
+    rows = [
+        ("a", "IBM", None, None), ("b", "I.B.M. SAS", None, None), ("c", "Torvalosk Brunikel", None, None), ("d", "Torvalosy Brunikex", None, None), ("e", "Vekadu Zorimo", "vek.test", None), ("f", "Vekady Zorimat", "vek.test", None),
+        ("g", "Pelumak", None, 1990), ("h", "Pelumar Dovi", None, 1990), ("i", "Pelumar Kato", None, 1991), ("j", "BMW", None, 1916), ("k", "BMW", None, None), ("l", "日本", None, None), ("m", "日本電気", None, None),
+    ]
+    df = spark.createDataFrame([(i, n, u, y, *[None] * 4) for i, n, u, y in rows], "company_id string, name string, homepage_url string, year_founded bigint, hq_country string, stock_symbol string, org_type string, size_employees bigint")
+    assert {(r["a"], r["b"]) for r in names.linked_companies(df).collect()} == {("c", "d"), ("e", "f"), ("g", "h"), ("j", "k")}
+
+
 # -- entities
 
 
