@@ -3,7 +3,7 @@
 One pass signs each text: b-bit cells are the low bits of its minima under fixed hash functions, packed into words, and estimate
 similarity; band keys for candidates are made of whole minima over all runs of words, so that no run is too common to bring two texts
 together. Every two classes that share a bucket are compared, in a bucket of any size: large ones are cut into blocks, and each two
-blocks meet in a group of bounded size. Pairs are compared where they meet, by counting equal cells, corrected for the 2^-b that agree
+blocks meet in a group of bounded size. Bands are gone through in rounds, so that the disk holds a part of their keys at a time. Pairs are compared where they meet, by counting equal cells, corrected for the 2^-b that agree
 by chance; pairs too close to the limit for the estimate are verified on their shingles.
 
 Texts with the same shingles are one class, which enters the bands once: a group of copies of any size adds one row.
@@ -12,6 +12,7 @@ Texts with the same shingles are one class, which enters the bands once: a group
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -113,13 +114,23 @@ def dealt_buckets(keyed: DataFrame, block: int) -> DataFrame:
     return every.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
 
 
-def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block: int) -> DataFrame:
+def likely_pairs(classes: DataFrame, cells: int, bits: int, least: float, block: int, rounds: int = 6) -> DataFrame:
     """`a, b, s` (a < b): every two classes that share a band key and whose estimated similarity `s` is `least` or more.
 
     `classes(class, cells, bands)`; a class may be signed more than once and counts once. The classes of a bucket are dealt into blocks of
     about `block`, and each two blocks, and each block with itself, make a group that is compared by itself, so that a bucket of any size is compared
     in full and no group is large. Pairs that are not alike go no further than the task they meet in.
+
+    The bands are taken in `rounds`, one after another: each goes over its own buckets and leaves only its pairs, so that the disk holds the keys and
+    groups of one round at a time.
     """
+    turn = lambda k: F.filter("bands", lambda _, i: i % rounds == k)
+    found = [cut(_pairs_of_bands(classes.withColumn("bands", turn(k)), cells, bits, least, block)) for k in range(rounds)]
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["a", "b"])
+
+
+def _pairs_of_bands(classes: DataFrame, cells: int, bits: int, least: float, block: int) -> DataFrame:
+    """`likely_pairs` of the bands that `classes` holds."""
     dealt = dealt_buckets(classes.select("class", F.explode("bands").alias("bucket")), block)
     met = dealt.select("class", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     signed = classes.select("class", "cells").dropDuplicates(["class"])

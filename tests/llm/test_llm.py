@@ -1,8 +1,10 @@
 """Operators for training data on small tables: edge cases, brute force, round trips and held-out accuracy."""
 
 import itertools
+import pathlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -126,6 +128,22 @@ def test_large_bucket_is_compared_in_full(spark, monkeypatch):
         assert got == list(itertools.combinations(range(200), 2))
 
 
+def test_disk_holds_one_round_of_bands(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    cells = rng.integers(-(2**62), 2**62, 16).tolist()
+    # Each two neighbours share one band, a different one each.
+    rows = [(k, cells, [k if b == k else k - 1 if b == k - 1 else 1000 * b + 100 + k for b in range(7)]) for k in range(8)]
+    classes = spark.createDataFrame(rows, "class bigint, cells array<bigint>, bands array<bigint>")
+    files = lambda: {f for f in pathlib.Path(spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())).parent.rglob("shuffle_*.data")}
+    before, left = files(), []
+    kept = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df: [kept(df), time.sleep(0.5), left.append(files() - before)][0])
+    pairs = neardup.likely_pairs(classes, 128, 8, 0.4, 16, 3)
+    # The hot buckets and the pairs of each round; what was shuffled for them is gone.
+    assert len(left) == 6 and not any(left)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(k, k + 1) for k in range(7)]
+
+
 def test_versions_of_a_text_that_most_rows_hold(spark):
     rng = random.Random(12)
     words = text_of(rng, 90).split()
