@@ -287,6 +287,22 @@ def test_openings_of_a_text_that_many_rows_hold(spark):
     assert len(got) == 30 and {x["id"] for x in got} == {f"l{k:02d}" for k in range(30)} and {x["jobid"] for x in got} == {f"r{k:02d}" for k in range(30)}
 
 
+def test_openings_of_one_firm_title_and_place_without_rare_words(spark):
+    rng = random.Random(33)
+    vocabulary = text_of(rng, 100).split()
+    posting = ("Data Engineer", "Acme Robotics", "Lyon", "2026-03-05")
+    left, right = [], []
+    for k in range(60):
+        # Every word stands in most texts; three of them are changed, so that two texts of an opening share most runs, though not always a band key.
+        words = [rng.choice(vocabulary) for _ in range(60)]
+        left.append({"id": f"l{k:02d}", "title": posting[0], "company": posting[1], "location_raw": posting[2], "date_posted": posting[3], "description_text": " ".join(words)})
+        for at in rng.sample((10, 20, 30, 40, 50), 3):
+            words[at] = vocabulary[vocabulary.index(words[at]) - 1]
+        right.append((f"r{k:02d}", *posting, " ".join(words)))
+    got = entities.matched_openings(jobs(spark, left), spark.createDataFrame(right, "jobid string, title string, companyname string, location string, publishedat string, description string")).collect()
+    assert {(x["id"], x["jobid"]) for x in got} == {(f"l{k:02d}", f"r{k:02d}") for k in range(60)}
+
+
 def test_one_to_one(spark):
     s = spark.createDataFrame([(a, b, c, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for a, b, c in (("x", "p", 0.9), ("x", "q", 0.8), ("y", "p", 0.85), ("y", "q", 0.6), ("z", "p", 0.9))], "a string, b string, confidence double, text double, rare_share double, title double, firm double, place double, date double")
     assert {(r["a"], r["b"]) for r in entities.one_to_one(s).collect()} == {("z", "p"), ("x", "q")}
